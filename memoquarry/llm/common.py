@@ -9,9 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Translation of bytes to themselves with A-Z lower-cased (what ``bytes.lower`` does).
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
+from memoquarry.shipping import ship
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by driver and executors: the cluster's ``spark.checkpoint.dir``.
@@ -48,7 +46,8 @@ class Scratch:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of very long texts must fit a Python worker."""
+    """Send the package to the executors; small Arrow batches: one of very long texts must fit a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memoquarry.llm.common import tune
+
 SHARD = 8192
 BLOCK = 2048
 PAGE = 64
@@ -119,6 +121,7 @@ def integers(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for every row of ``queries`` against all of ``rows``."""
+    tune(rows.sparkSession)
     data, asked = integers(rows, id_col, vector_col), integers(queries, id_col, vector_col)
     n, m = data.count(), asked.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
