@@ -17,8 +17,8 @@
    the two partners' difference where that is the shorter way.
 5. Components are closed by large-star and small-star rounds on the class graph.
 
-No group is ever expanded into all pairs: a group of near copies costs a chain of
-neighbours.  Lists are streamed sorted, so a common shingle needs no memory.
+A group of near copies costs a chain of neighbours in each of its lists, not all its pairs.  A task
+holds the entries of one shingle range (24 bytes each; ranges grow in number with the input).
 
 Defined results: null, empty and blank texts have no shingles and stand alone; texts of fewer
 words than ``WORDS`` have one shingle, the whole sequence; repeated rows and ids belong to one
@@ -31,10 +31,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoquarry.llm.common import Hashes, Scratch, binaries, keyed, mix, ragged, release, tune
+from memoquarry.llm.common import Hashes, Scratch, binaries, keyed, mix, release, tune
 
 WORDS = 4
 NUMERATOR, DENOMINATOR = 85, 100
@@ -348,11 +348,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """``docs`` ids with n_shingles and the class they belong to: rid, doc_id, n_shingles, component (smallest row key), component_id."""
+    """For rows of rid (a unique key), doc_id and text: rid, doc_id, n_shingles, component (smallest key of the class), component_id."""
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "jaccard")
-    docs = keyed(docs.select("doc_id", "text"), scratch)
     total = docs.count()
     common = common_shingles(docs, total, words)
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8000)
@@ -381,4 +380,5 @@ def classes(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    docs = keyed(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "jaccard-docs"))
     return classes(docs, words, num, den).select("doc_id", "n_shingles", "component_id")

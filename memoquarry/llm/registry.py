@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memoquarry.llm import decontam, extract, packing, resample, tokens, topk, toxicity, warc
+from memoquarry.llm import decontam, extract, jaccard, packing, resample, suffixes, tokens, topk, toxicity, warc
 from memoquarry.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
@@ -48,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op3_quality, op4_toxicity, op5_token_counts, op6_decontamination, op7_warc, op9_html_extraction, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_jaccard_join, op3_quality, op4_toxicity, op5_token_counts, op6_decontamination, op7_warc, op8_suffix_dedup, op9_html_extraction, op10_packing)}
 ORACLES = {"op1_topk_search": topk.ORACLE, "op6_decontamination": decontam.ORACLE, "op7_warc": warc.ORACLE}
