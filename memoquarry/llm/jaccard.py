@@ -43,6 +43,8 @@ COMMON = 1 / 1000
 #: Most common shingles that are told apart (the sum of set sizes over COMMON bounds them anyway).
 COMMON_MOST = 1 << 20
 CHUNK_BYTES = 16 << 20
+#: Bytes of the short parity map that list members carry.
+BRIEF = 32
 
 
 def shingles(text: bytes | None, hashes: Hashes, words: int = WORDS) -> np.ndarray:
@@ -69,8 +71,8 @@ def prefix_length(n, num: int = NUMERATOR, den: int = DENOMINATOR):
 
 
 def parity_bits(n: int) -> int:
-    """Bitmap length for a set of n: a power of two, at least n and 64."""
-    return max(64, 1 << max(n - 1, 0).bit_length())
+    """Bitmap length for a set of n: a power of two, at least n and 256."""
+    return max(8 * BRIEF, 1 << max(n - 1, 0).bit_length())
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -79,6 +81,11 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
 
 
+def brief(bitmap: np.ndarray) -> np.ndarray:
+    """A parity bitmap folded to ``BRIEF`` bytes."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, BRIEF), axis=0)
+
+
 def parity_distance(a: bytes, b: bytes) -> int:
     """At most |a xor b|; the longer map is folded onto the shorter."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -132,15 +139,16 @@ def _sets_and_entries(docs: DataFrame, common: np.ndarray, ranges: int, words: i
             heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             ends = np.append(heads[1:], len(part))
             k = len(heads)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(part[heads].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(part[heads].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary())], names=names)
 
-        names = ["rid", "n", "sid", "sid2", "parity", "part", "entries"]
+        names = ["rid", "n", "sid", "sid2", "parity", "brief", "part", "entries"]
         for b in batches:
             sets = [shingles(t, hashes, words) for t in binaries(b.column(1))]
             digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             out = []
             for s, d in zip(sets, digests):
-                out.append((len(s), d & (1 << 64) - 1, d >> 64, parity(s).tobytes() if len(s) else b""))
+                bits = parity(s)
+                out.append((len(s), d & (1 << 64) - 1, d >> 64, bits.tobytes(), brief(bits).tobytes()))
                 if not len(s) or d in known:
                     continue
                 if len(known) < 500_000:
@@ -150,15 +158,15 @@ def _sets_and_entries(docs: DataFrame, common: np.ndarray, ranges: int, words: i
                 held.append((first, np.full(len(first), d & (1 << 64) - 1, np.uint64), np.full(len(first), len(s)), np.arange(len(first))))
                 size += 24 * len(first)
             if out:
-                n, low, high, bits = zip(*out)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+                n, low, high, bits, short = zip(*out)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(short, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
             if size >= CHUNK_BYTES:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, n long, sid long, sid2 long, parity binary, part int, entries binary")
+    return docs.select("rid", "text").mapInArrow(run, "rid long, n long, sid long, sid2 long, parity binary, brief binary, part int, entries binary")
 
 
 def _lists(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -198,11 +206,18 @@ def _neighbours(entries: DataFrame, num: int, den: int) -> DataFrame:
     return entries.groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
 
-def _memberships(entries: DataFrame) -> DataFrame:
-    """(part, list, sid, n, pos) of lists with two members or more."""
+def _memberships(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(part, list, sid, n, pos) of lists with two members or more, unless the bounds part its only two."""
 
     def run(key, table):
         number, sid, size, pos = _lists(binaries(table.column("entries")))
+        if len(number):
+            first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+            first = first[np.diff(np.append(first, len(number))) == 2]
+            parted = first[~_possible(size[first], pos[first], size[first + 1], pos[first + 1], num, den)]
+            keep = np.ones(len(number), bool)
+            keep[parted] = keep[parted + 1] = False
+            number, sid, size, pos = number[keep], sid[keep], size[keep], pos[keep]
         part = pa.array(np.full(len(sid), key[0].as_py(), np.int32))
         return pa.Table.from_arrays([part, pa.array(number), pa.array(sid.view(np.int64)), pa.array(size), pa.array(pos)], names=["part", "list", "sid", "n", "pos"])
 
@@ -212,7 +227,12 @@ def _memberships(entries: DataFrame) -> DataFrame:
 def _across(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of one list but of different components that the bounds allow.  Input: sorted by list and size."""
 
-    def pairs(size, pos, comp):
+    def near(size, bits, i, j):
+        """Whether the short parity maps allow the overlap that is needed."""
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        return size[i] + size[j] - 2 * least_overlap(size[i], size[j], num, den) >= apart
+
+    def pairs(size, pos, comp, bits):
         """Walk a list by size; per member, skip the blocks of positions that cannot reach it."""
         left, right = [], []
         top = np.searchsorted(size, (size * den) // num, side="right")
@@ -224,6 +244,7 @@ def _across(members: DataFrame, num: int, den: int) -> DataFrame:
             best = np.minimum(size[i] - pos[i] - 1, size[j] - (block << 3) - 1) + 1 + np.minimum(pos[i], (block << 3) + 7)
             j = j[(best >= least_overlap(size[i], size[j], num, den)) & (comp[j] != comp[i])]
             j = j[_possible(size[i], pos[i], size[j], pos[j], num, den)]
+            j = j[near(size, bits, np.full(len(j), i), j)]
             left.append(np.full(len(j), i))
             right.append(j)
         return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
@@ -231,7 +252,7 @@ def _across(members: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         tail: list[np.ndarray] | None = None
         for b in batches:
-            cols = [c.to_numpy() for c in b.columns]
+            cols = [c.to_numpy() for c in b.columns[:-1]] + [np.frombuffer(b"".join(b.columns[-1].to_pylist()), np.uint64).reshape(-1, BRIEF // 8)]
             cols = [np.concatenate((t, c)) for t, c in zip(tail, cols)] if tail else cols
             part, lst = cols[0], cols[1]
             cut = int(np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (lst[1:] != lst[:-1])])[-1]) if len(part) else 0
@@ -241,7 +262,7 @@ def _across(members: DataFrame, num: int, den: int) -> DataFrame:
             yield from work(tail)
 
     def work(cols):
-        part, lst, sid, size, pos, comp = cols
+        part, lst, sid, size, pos, comp, bits = cols
         if not len(part):
             return
         heads = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (lst[1:] != lst[:-1])])
@@ -250,10 +271,11 @@ def _across(members: DataFrame, num: int, den: int) -> DataFrame:
         i = heads[two]
         i = i[(comp[i] != comp[i + 1])]
         i = i[_possible(size[i], pos[i], size[i + 1], pos[i + 1], num, den)]
+        i = i[near(size, bits, i, i + 1)]
         yield _pairs_frame(sid[i], sid[i + 1])
         for s, e in zip(heads[~two], ends[~two]):
             if (comp[s:e] != comp[s]).any():
-                a, b = pairs(size[s:e], pos[s:e], comp[s:e])
+                a, b = pairs(size[s:e], pos[s:e], comp[s:e], bits[s:e])
                 if len(a):
                     yield _pairs_frame(sid[s + a], sid[s + b])
 
@@ -357,18 +379,22 @@ def classes(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8000)
     both = scratch.write(_sets_and_entries(docs, common, ranges, words, num, den), "sets")
     entries = both.filter("part is not null").select("part", "entries")
-    facts = both.filter("rid is not null").select("rid", "n", "sid", "sid2", "parity")
+    facts = scratch.write(both.filter("rid is not null").select("rid", "n", "sid", "sid2", "parity", "brief"), "facts")
     # a class for each set: its smallest row; empty sets stand alone
-    reps = scratch.write(facts.filter("n > 0").groupBy("sid", "sid2").agg(F.min("rid").alias("class"), F.first("n").alias("n"), F.first("parity").alias("parity")), "classes")
-    first = _verify(_neighbours(entries, num, den), reps, docs, words, num, den, scratch, "near")
+    reps = scratch.write(facts.filter("n > 0").groupBy("sid", "sid2").agg(F.min("rid").alias("class"), *(F.first(c).alias(c) for c in ("n", "parity", "brief"))), "classes")
+    members = scratch.write(_memberships(entries, num, den), "members")
+    proposed = scratch.write(_neighbours(entries, num, den), "proposed")
+    scratch.drop("sets")
+    release(spark)
+    first = _verify(proposed, reps, docs, words, num, den, scratch, "near")
     release(spark)
     rough = scratch.write(components(first, scratch, "rough"), "rough")
-    named = reps.join(rough.withColumnRenamed("node", "class"), "class", "left").groupBy("sid").agg(F.min(F.coalesce("root", "class")).alias("component"))
-    members = scratch.write(_memberships(entries), "members")
-    spread = members.join(named, "sid").select("part", "list", "sid", "n", "pos", "component")
-    mixed = spread.groupBy("part", "list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("part", "list")
-    open_lists = spread.join(mixed, ["part", "list"]).repartition(F.col("part"), F.col("list")).sortWithinPartitions("part", "list", "n", "sid")
-    second = _verify(_across(open_lists, num, den).distinct(), reps, docs, words, num, den, scratch, "across")
+    named = reps.join(rough.withColumnRenamed("node", "class"), "class", "left").groupBy("sid").agg(F.min(F.coalesce("root", "class")).alias("component"), F.first("brief").alias("brief"))
+    lists = members.join(named, "sid").select("part", "list", "sid", "n", "pos", "component", "brief").repartition("part", "list").sortWithinPartitions("part", "list", "n", "sid")
+    across = scratch.write(_across(lists, num, den).distinct(), "across")
+    scratch.drop("members")
+    release(spark)
+    second = _verify(across, reps, docs, words, num, den, scratch, "across")
     release(spark)
     roots = scratch.write(components(first.union(second), scratch, "all"), "roots")
     placed = facts.join(docs.select("rid", "doc_id"), "rid").join(reps.select("sid", "sid2", "class"), ["sid", "sid2"], "left")
