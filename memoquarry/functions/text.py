@@ -10,10 +10,6 @@ from memoquarry.functions import lexicons as L
 TOKEN = rf"[{L.CJK}]|[\p{{L}}\p{{N}}&&[^{L.CJK}]]+"
 
 
-def words(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
-
-
 def has(text: Column, pattern: str) -> Column:
     return F.regexp_like(text, F.lit("(?iu)(?:" + pattern + ")"))
 
@@ -41,13 +37,13 @@ def strip(text: Column) -> Column:
 def tokenize(text: Column) -> Column:
     """TX4: CJK characters and lower-cased words without stop words, in order, duplicates kept."""
     raw = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
-    keep = lambda t: F.when(is_cjk(t), ~F.array_contains(words(L.STOP_ZH), t)).otherwise((F.char_length(t) > 1) & ~F.array_contains(words(L.STOP_EN), t))
+    keep = lambda t: F.when(is_cjk(t), ~t.isin(L.STOP_ZH)).otherwise((F.char_length(t) > 1) & ~t.isin(L.STOP_EN))
     return F.filter(raw, keep)
 
 
 def ngrams(text: Column, n: int = 2) -> Column:
     """TX5: n-grams over the CJK characters left after stop characters, then the other tokens."""
-    chars = F.filter(F.regexp_extract_all(text, F.lit(rf"[{L.CJK}]"), F.lit(0)), lambda c: ~F.array_contains(words(L.STOP_ZH), c))
+    chars = F.filter(F.regexp_extract_all(text, F.lit(rf"[{L.CJK}]"), F.lit(0)), lambda c: ~c.isin(L.STOP_ZH))
     grams = F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, n), ""))).otherwise(F.array().cast("array<string>"))
     return F.concat(grams, F.filter(tokenize(text), lambda t: ~is_cjk(t)))
 
@@ -60,7 +56,7 @@ def key_facts(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """TX10: capitalised words, technology names, names after a marker; first form of each kept."""
-    capital = F.filter(F.regexp_extract_all(text, F.lit(r"([A-Z][a-zA-Z0-9]+(?:[.-][a-zA-Z0-9]+)*)"), F.lit(1)), lambda w: ~F.array_contains(words(L.STOP_EN), F.lower(w)))
+    capital = F.filter(F.regexp_extract_all(text, F.lit(r"([A-Z][a-zA-Z0-9]+(?:[.-][a-zA-Z0-9]+)*)"), F.lit(1)), lambda w: ~F.lower(w).isin(L.STOP_EN))
     tech = F.regexp_extract_all(text, F.lit(f"(?i)({L.TECH})"), F.lit(1))
     names = F.regexp_extract_all(text, F.lit(r"(?:叫|是|找|问|联系|@)\s*([\x{4E00}-\x{9FA5}]{2,4})"), F.lit(1))
     found = F.concat(capital, tech, names)
@@ -76,7 +72,7 @@ def density(text: Column) -> Column:
     """TX12: mean of five signals."""
     tokens = tokenize(text)
     all_words = F.regexp_extract_all(F.lower(text), F.lit(L.WORD + "+"), F.lit(0))
-    content = F.filter(all_words, lambda w: (F.char_length(w) > 1) & ~F.array_contains(words(L.STOP_EN + L.STOP_ZH), w))
+    content = F.filter(all_words, lambda w: (F.char_length(w) > 1) & ~w.isin(L.STOP_EN + L.STOP_ZH))
     n = F.char_length(text)
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     length = F.when(n < 5, 0.0).when(n < 15, 0.2).when(n < 200, 0.7).otherwise(0.5)
@@ -117,7 +113,7 @@ def rule_features(text: Column) -> list[Column]:
     n, tokens = F.char_length(text), tokenize(text)
     share = lambda pattern: F.when(n > 0, F.regexp_count(text, F.lit(pattern)) / n).otherwise(0.0)
     lower = F.regexp_extract_all(F.lower(text), F.lit(L.WORD + "+"), F.lit(0))
-    stops = F.filter(lower, lambda w: F.array_contains(words(L.STOP_EN + L.STOP_ZH), w))
+    stops = F.filter(lower, lambda w: w.isin(L.STOP_EN + L.STOP_ZH))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return [
         flag(has(text, L.DECISION)), flag(has(text, L.PREFERENCE)), flag(has(text, L.CORRECTION)), flag(has(text, L.FACT)), flag(has(text, L.EXPLICIT)), density(text),
