@@ -8,6 +8,7 @@ Wanted: every byte covered by a string of ``LENGTH`` bytes that starts anywhere
    (about one in a hundred) loses no repeat.
 2. An anchor can only matter if its next ``LENGTH - WINDOW + 1`` bytes occur at another one: anchors
    are dealt and sorted by a hash of those bytes, and runs of one are dropped while streaming by.
+   Anchors that repeat within a batch are live already, and only one of them goes to its hash.
 3. Tasks sort the suffixes (``LENGTH`` bytes) at their anchors, fold equal contexts into
    one entry with its members, and exchange front-coded runs: common prefix length with the
    suffix before, and the rest.  Runs are dealt by the hash of step 2, so suffixes that share
@@ -253,7 +254,14 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, window
             found = anchors_of(texts, length, window)
             h = [context_hash(t, a, floor) for t, at in zip(texts, found) for a in at.tolist()]
             rid = np.repeat(b.column(0).to_numpy(), [len(a) for a in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(rid, pa.int64()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())], names=["h", "rid", "at"])
+            at = np.concatenate(found) if found else np.zeros(0, np.int64)
+            h = np.array(h, np.uint64)
+            # an anchor met twice in a batch is live already: one stands for its hash, the others are dealt anywhere
+            _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            sure = n[inverse] > 1
+            away = sure & (first[inverse] != np.arange(len(h)))
+            deal = np.where(away, mix(h ^ mix(rid.astype(np.uint64) << np.uint64(20) ^ at.astype(np.uint64))), h)
+            yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(sure), pa.array(rid, pa.int64()), pa.array(at, pa.int64())], names=["h", "sure", "rid", "at"])
 
     def shared(batches):
         last, pending = None, None
@@ -264,14 +272,14 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, window
             if not len(h):
                 continue
             same = np.r_[last is not None and h[0] == last, h[1:] == h[:-1]]
-            keep = same | np.r_[same[1:], False]
+            keep = same | np.r_[same[1:], False] | b.column(1).to_numpy(zero_copy_only=False)
             yield b.slice(0, len(h) - 1).filter(pa.array(keep[:-1]))
             pending, last = b.slice(len(h) - 1), (h[-2] if len(h) > 1 else last)
-        if pending is not None and last is not None and pending.column(0)[0].as_py() == last:
+        if pending is not None and (pending.column(1)[0].as_py() or (last is not None and pending.column(0)[0].as_py() == last)):
             yield pending
 
-    dealt = docs.select("rid", "text").mapInArrow(anchors, "h long, rid long, at long").repartition("h").sortWithinPartitions("h")
-    live = scratch.write(dealt.mapInArrow(shared, "h long, rid long, at long").select("rid", "at"), "anchors")
+    dealt = docs.select("rid", "text").mapInArrow(anchors, "h long, sure boolean, rid long, at long").repartition("h").sortWithinPartitions("h")
+    live = scratch.write(dealt.mapInArrow(shared, "h long, sure boolean, rid long, at long").select("rid", "at"), "anchors")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), live.count() // PART_ANCHORS, 1)
     release(spark)
     places = live.groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("at"))
