@@ -1,6 +1,6 @@
 """Operator 3, quality selection by importance resampling.
 
-Word and word-pair counts, hashed to ``BUCKETS`` buckets, give two generative models: of raw text,
+Counts of words, word pairs, and their shapes (case, digits, punctuation, repetition), hashed to ``BUCKETS`` buckets, give two generative models: of raw text,
 counted over every document, and of target text, counted over a bounded sample of documents
 labelled as good (``TARGET`` rows at most, the first by a hash of their id).  A document's log
 weight is the mean log ratio of the two over its n-grams, times ``SHARPNESS``.  Adding Gumbel
@@ -17,27 +17,44 @@ without target rows all weights are 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memoquarry.llm.common import Hashes, Scratch, binaries, mix, tune
-from memoquarry.llm.decontam import words_of
 
 BUCKETS = 1 << 16
 TARGET = 4000
 SHARPNESS = 20.0
 SMOOTHING = 1.0
+SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+RUNS = re.compile(rb"(.)\1+", re.S)
+AGAIN = np.uint64(11)
 #: Share of documents that the registered query keeps.
-KEEP = 0.8
+KEEP = 0.85
+
+
+class Shapes(Hashes):
+    """word -> hash of its shape: runs of capitals, small letters, digits and other bytes as one sign each, punctuation as it is."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = self.of(b"shape" + RUNS.sub(rb"\1", word.translate(SHAPE)))
+        return value
 
 
-def buckets_of(text: bytes | None, hashes: Hashes) -> np.ndarray:
-    """Buckets of a text's words and word pairs."""
-    words = hashes.array(words_of(text))
-    pairs = mix(words[:-1] * np.uint64(3) + words[1:]) if len(words) > 1 else words[:0]
-    return (np.concatenate((words, pairs)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+def buckets_of(text: bytes | None, hashes: tuple[Hashes, Shapes]) -> np.ndarray:
+    """Buckets of a text's words, word pairs, shapes and shape pairs; a word that repeats the last has a shape of its own."""
+    split = (text or b"").split()
+    words, shapes = hashes[0].array(split), hashes[1].array(split)
+    if len(words) > 1:
+        shapes[1:][words[1:] == words[:-1]] = AGAIN
+    pair = lambda x: mix(x[:-1] * np.uint64(3) + x[1:]) if len(x) > 1 else x[:0]
+    return (np.concatenate((words, pair(words), mix(shapes), pair(shapes))) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def counts(docs: DataFrame) -> np.ndarray:
@@ -45,7 +62,7 @@ def counts(docs: DataFrame) -> np.ndarray:
     tune(docs.sparkSession)
 
     def run(batches):
-        hashes, total = Hashes(), np.zeros(BUCKETS, np.int64)
+        hashes, total = (Hashes(), Shapes()), np.zeros(BUCKETS, np.int64)
         for b in batches:
             got = [buckets_of(t, hashes) for t in binaries(b.column(0))]
             if got:
@@ -76,7 +93,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
-        hashes, table = Hashes(), shared.value
+        hashes, table = (Hashes(), Shapes()), shared.value
         for b in batches:
             got = [buckets_of(t, hashes) for t in binaries(b.column(1))]
             weight = np.array([SHARPNESS * table[x].mean() if len(x) else 0.0 for x in got])
