@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from memoquarry.llm.common import tune
 
-SHARD = 8192
+SHARD = 16384
 BLOCK = 2048
-PAGE = 64
+PAGE = 256
 SLACK = 1e-6
 
 
@@ -38,10 +38,11 @@ class MTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.exact = ids[order], vectors[order]
-        self.x = self.exact.astype(np.float64)
+        self.ids, self.x = ids[order], vectors[order].astype(np.float64)
         self.page, self.nodes = page, []
-        self.root = self._load(np.arange(len(ids)), self.x.mean(axis=0).round()) if len(ids) else -1
+        self.centre = self.x.mean(axis=0).round() if len(ids) else None
+        self.root = self._load(np.arange(len(ids)), self.centre) if len(ids) else -1
+        self._lay_out()
 
     def _load(self, rows: np.ndarray, parent: np.ndarray) -> int:
         """A page for these rows; returns its number.  Distances are to the parent object."""
@@ -74,6 +75,20 @@ class MTree:
         self.nodes.append((False, children, np.linalg.norm(c - parent, axis=1), radii, c))
         return len(self.nodes) - 1
 
+    def _lay_out(self) -> None:
+        """Put each leaf's vectors side by side; a leaf then holds the bounds of its rows."""
+        leaves = [i for i, node in enumerate(self.nodes) if node[0]]
+        order, at = [], 0
+        for i in leaves:
+            _, rows, to_parent, _, _ = self.nodes[i]
+            far = np.argsort(-to_parent, kind="stable")  # farthest first: the bound keeps a head of the page
+            order.append(rows[far])
+            self.nodes[i] = (True, (at, at + len(rows)), to_parent[far], None, None)
+            at += len(rows)
+        if order:
+            order = np.concatenate(order)
+            self.ids, self.x = self.ids[order], np.ascontiguousarray(self.x[order])
+
     def search(self, query: np.ndarray, k: int, own: int, counts: dict | None = None) -> list[tuple[int, int]]:
         """The k best (score, id), best first; ties to smaller ids."""
         if self.root < 0:
@@ -81,8 +96,7 @@ class MTree:
         q = query.astype(np.float64)
         length = float(np.linalg.norm(q))
         best: list[tuple[int, int]] = []  # a heap of (score, -id): its least is the k-th
-        centre = self.x.mean(axis=0).round()
-        queue = [(-np.inf, self.root, float(q @ centre))]
+        queue = [(-np.inf, self.root, float(q @ self.centre))]
         while queue:
             bound, page, at_parent = heapq.heappop(queue)
             floor = best[0][0] if len(best) == k else -np.inf
@@ -90,12 +104,14 @@ class MTree:
                 break
             leaf, below, to_parent, radii, objects = self.nodes[page]
             if leaf:
-                live = at_parent + length * to_parent >= floor - SLACK
-                rows = below[live]
+                begin, end = below
+                if floor > -np.inf:
+                    end = begin + int(np.searchsorted(-to_parent, (at_parent - floor + SLACK) / max(length, 1e-300), side="right"))
                 if counts is not None:
-                    counts["seen"] = counts.get("seen", 0) + len(rows)
-                scores = self.exact[rows] @ query
-                for score, i in zip(scores.tolist(), self.ids[rows].tolist()):
+                    counts["seen"] = counts.get("seen", 0) + end - begin
+                scores = self.x[begin:end] @ q  # whole numbers below 2^53: exact
+                near = np.flatnonzero(scores >= floor) if floor > -np.inf else np.arange(end - begin)
+                for score, i in zip(scores[near].tolist(), self.ids[begin:end][near].tolist()):
                     if i == own:
                         continue
                     if len(best) < k:
@@ -109,7 +125,7 @@ class MTree:
                 for top, child, dot in zip(tops.tolist(), below[live].tolist(), dots.tolist()):
                     if top >= floor - SLACK:
                         heapq.heappush(queue, (-top, child, dot))
-        return [(s, -i) for s, i in sorted(best, key=lambda b: (-b[0], -b[1]))]
+        return [(int(s), -i) for s, i in sorted(best, key=lambda b: (-b[0], -b[1]))]
 
 
 def integers(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
