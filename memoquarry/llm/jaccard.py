@@ -6,8 +6,8 @@
    all documents, come after all others; hashes order the rest.  Two sets that reach the
    threshold share a shingle in their prefixes, so prefixes are indexed: (shingle, set, size,
    position) in packed blocks by shingle range.
-3. Lists are walked in order of size.  First only neighbours in a list are proposed, and the
-   proven ones are joined into components.  Then each list is walked again: members
+3. Lists are walked in order of size.  First only neighbours in a list are proposed, then for each
+   member the one that looks nearest, and the proven ones are joined into components.  Then each list is walked again: members
    of one component are skipped, since their answers follow from each other, and of the rest only
    blocks of positions whose bound (1 + what remains after the position) and size
    can reach the threshold are paired.
@@ -39,7 +39,7 @@ from memoquarry.llm.common import Hashes, Scratch, binaries, keyed, mix, release
 WORDS = 4
 NUMERATOR, DENOMINATOR = 85, 100
 #: Share of documents from which a shingle counts as common.
-COMMON = 1 / 1000
+COMMON = 1 / 2000
 #: Most common shingles that are told apart (the sum of set sizes over COMMON bounds them anyway).
 COMMON_MOST = 1 << 20
 CHUNK_BYTES = 16 << 20
@@ -224,13 +224,17 @@ def _memberships(entries: DataFrame, num: int, den: int) -> DataFrame:
     return entries.groupBy("part").applyInArrow(run, "part int, list long, sid long, n long, pos long")
 
 
-def _across(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one list but of different components that the bounds allow.  Input: sorted by list and size."""
+def _across(members: DataFrame, num: int, den: int, best: bool = False) -> DataFrame:
+    """Pairs of one list but of different components that the bounds allow.  Input: sorted by list and size.
+
+    ``best``: for each member only the partner whose short parity map is nearest.
+    """
 
     def near(size, bits, i, j):
-        """Whether the short parity maps allow the overlap that is needed."""
+        """Places where the short parity maps allow the overlap that is needed, the nearest first."""
         apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-        return size[i] + size[j] - 2 * least_overlap(size[i], size[j], num, den) >= apart
+        order = np.argsort(apart, kind="stable")
+        return order[(size[i] + size[j] - 2 * least_overlap(size[i], size[j], num, den) >= apart)[order]]
 
     def pairs(size, pos, comp, bits):
         """Walk a list by size; per member, skip the blocks of positions that cannot reach it."""
@@ -241,10 +245,11 @@ def _across(members: DataFrame, num: int, den: int) -> DataFrame:
             if not len(j):
                 continue
             block = pos[j] >> 3  # whole blocks by their first position
-            best = np.minimum(size[i] - pos[i] - 1, size[j] - (block << 3) - 1) + 1 + np.minimum(pos[i], (block << 3) + 7)
-            j = j[(best >= least_overlap(size[i], size[j], num, den)) & (comp[j] != comp[i])]
+            reach = np.minimum(size[i] - pos[i] - 1, size[j] - (block << 3) - 1) + 1 + np.minimum(pos[i], (block << 3) + 7)
+            j = j[(reach >= least_overlap(size[i], size[j], num, den)) & (comp[j] != comp[i])]
             j = j[_possible(size[i], pos[i], size[j], pos[j], num, den)]
             j = j[near(size, bits, np.full(len(j), i), j)]
+            j = j[:1] if best else j
             left.append(np.full(len(j), i))
             right.append(j)
         return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
@@ -388,15 +393,17 @@ def classes(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int
     release(spark)
     first = _verify(proposed, reps, docs, words, num, den, scratch, "near")
     release(spark)
-    rough = scratch.write(components(first, scratch, "rough"), "rough")
-    named = reps.join(rough.withColumnRenamed("node", "class"), "class", "left").groupBy("sid").agg(F.min(F.coalesce("root", "class")).alias("component"), F.first("brief").alias("brief"))
-    lists = members.join(named, "sid").select("part", "list", "sid", "n", "pos", "component", "brief").repartition("part", "list").sortWithinPartitions("part", "list", "n", "sid")
-    across = scratch.write(_across(lists, num, den).distinct(), "across")
+    links = first
+    for name, best in (("nearest", True), ("across", False)):
+        rough = scratch.write(components(links, scratch, f"rough-{name}"), f"rough-{name}")
+        named = reps.join(rough.withColumnRenamed("node", "class"), "class", "left").groupBy("sid").agg(F.min(F.coalesce("root", "class")).alias("component"), F.first("brief").alias("brief"))
+        lists = members.join(named, "sid").select("part", "list", "sid", "n", "pos", "component", "brief").repartition("part", "list").sortWithinPartitions("part", "list", "n", "sid")
+        proposed = scratch.write(_across(lists, num, den, best).distinct(), f"proposed-{name}")
+        release(spark)
+        links = links.union(_verify(proposed, reps, docs, words, num, den, scratch, name))
     scratch.drop("members")
     release(spark)
-    second = _verify(across, reps, docs, words, num, den, scratch, "across")
-    release(spark)
-    roots = scratch.write(components(first.union(second), scratch, "all"), "roots")
+    roots = scratch.write(components(links, scratch, "all"), "roots")
     placed = facts.join(docs.select("rid", "doc_id"), "rid").join(reps.select("sid", "sid2", "class"), ["sid", "sid2"], "left")
     placed = placed.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("rid")).alias("class"))
     rooted = placed.join(roots.withColumnRenamed("node", "class"), "class", "left").select("rid", "doc_id", "n_shingles", F.coalesce("root", "class").alias("component"))
