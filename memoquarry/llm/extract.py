@@ -178,6 +178,9 @@ def extract_shard(pages: list[str | None], run: int = RUN) -> list[str]:
             text += [ids.setdefault(w, len(ids) + 1) for w in words]
             zone += [z] * len(words)
             page += [article_of[article] if z == ARTICLE else own] * len(words)
+            text.append(0)  # a repeat must not eat into the next block
+            zone.append(CHROME)
+            page.append(own)
         text.append(0)
         zone.append(CHROME)
         page.append(own)
@@ -207,7 +210,7 @@ def extract_shard(pages: list[str | None], run: int = RUN) -> list[str]:
             if z == wanted:
                 mask = covered[at : at + len(words)]
                 kept += [w for w, c in zip(words, mask.tolist()) if not c] if mask.any() else words
-            at += len(words)
+            at += len(words) + 1
         at += 1
         out.append(" ".join(kept))
     return out

@@ -62,7 +62,7 @@ class PairMerger:
         ids = self.first[np.frombuffer(b"".join(words), np.uint8)]
         seq = np.repeat(np.arange(len(words)), sizes)
         none = len(self.keys)
-        while len(ids) > 1:
+        while len(ids):
             rank = np.where(seq[1:] == seq[:-1], self.ranks(ids[:-1] * self.width + ids[1:]), none)
             heads = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             low = np.minimum.reduceat(np.append(rank, none), heads)
