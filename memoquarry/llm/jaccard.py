@@ -42,7 +42,7 @@ NUMERATOR, DENOMINATOR = 85, 100
 COMMON = 1 / 2000
 #: Most common shingles that are told apart (the sum of set sizes over COMMON bounds them anyway).
 COMMON_MOST = 1 << 20
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes of the short parity map that list members carry.
 BRIEF = 32
 
@@ -207,7 +207,7 @@ def _neighbours(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _memberships(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """(part, list, sid, n, pos) of lists with two members or more, unless the bounds part its only two."""
+    """(part, list, lead, sid, n, pos) of lists with two members or more, unless the bounds part its only two; lead: the first member."""
 
     def run(key, table):
         number, sid, size, pos = _lists(binaries(table.column("entries")))
@@ -219,9 +219,11 @@ def _memberships(entries: DataFrame, num: int, den: int) -> DataFrame:
             keep[parted] = keep[parted + 1] = False
             number, sid, size, pos = number[keep], sid[keep], size[keep], pos[keep]
         part = pa.array(np.full(len(sid), key[0].as_py(), np.int32))
-        return pa.Table.from_arrays([part, pa.array(number), pa.array(sid.view(np.int64)), pa.array(size), pa.array(pos)], names=["part", "list", "sid", "n", "pos"])
+        head = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else np.zeros(0, np.int64)
+        lead = np.repeat(sid[head], np.diff(np.append(head, len(number))))
+        return pa.Table.from_arrays([part, pa.array(number), pa.array(lead.view(np.int64)), pa.array(sid.view(np.int64)), pa.array(size), pa.array(pos)], names=["part", "list", "lead", "sid", "n", "pos"])
 
-    return entries.groupBy("part").applyInArrow(run, "part int, list long, sid long, n long, pos long")
+    return entries.groupBy("part").applyInArrow(run, "part int, list long, lead long, sid long, n long, pos long")
 
 
 def _across(members: DataFrame, num: int, den: int, best: bool = False) -> DataFrame:
@@ -277,12 +279,13 @@ def _across(members: DataFrame, num: int, den: int, best: bool = False) -> DataF
         i = i[(comp[i] != comp[i + 1])]
         i = i[_possible(size[i], pos[i], size[i + 1], pos[i + 1], num, den)]
         i = i[near(size, bits, i, i + 1)]
-        yield _pairs_frame(sid[i], sid[i + 1])
+        left, right = [sid[i]], [sid[i + 1]]
         for s, e in zip(heads[~two], ends[~two]):
             if (comp[s:e] != comp[s]).any():
                 a, b = pairs(size[s:e], pos[s:e], comp[s:e], bits[s:e])
-                if len(a):
-                    yield _pairs_frame(sid[s + a], sid[s + b])
+                left.append(sid[s + a])
+                right.append(sid[s + b])
+        yield _pairs_frame(np.concatenate(left), np.concatenate(right))
 
     return members.mapInArrow(run, "a long, b long")
 
@@ -397,7 +400,9 @@ def classes(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int
     for name, best in (("nearest", True), ("across", False)):
         rough = scratch.write(components(links, scratch, f"rough-{name}"), f"rough-{name}")
         named = reps.join(rough.withColumnRenamed("node", "class"), "class", "left").groupBy("sid").agg(F.min(F.coalesce("root", "class")).alias("component"), F.first("brief").alias("brief"))
-        lists = members.join(named, "sid").select("part", "list", "sid", "n", "pos", "component", "brief").repartition("part", "list").sortWithinPartitions("part", "list", "n", "sid")
+        lists = members.join(named, "sid").select("lead", "part", "list", "sid", "n", "pos", "component", "brief")
+        # lists with the same first member side by side: most of a pair's lists meet, and the pair is proposed once
+        lists = lists.repartition("lead").sortWithinPartitions("lead", "part", "list", "n", "sid").drop("lead")
         proposed = scratch.write(_across(lists, num, den, best).distinct(), f"proposed-{name}")
         release(spark)
         links = links.union(_verify(proposed, reps, docs, words, num, den, scratch, name))
