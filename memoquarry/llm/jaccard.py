@@ -45,6 +45,8 @@ COMMON_MOST = 1 << 20
 CHUNK_BYTES = 8 << 20
 #: Bytes of the short parity map that list members carry.
 BRIEF = 32
+#: Pairs that a task holds to drop their repeats (16 bytes each) before it emits them.
+HELD_PAIRS = 1 << 19
 
 
 def shingles(text: bytes | None, hashes: Hashes, words: int = WORDS) -> np.ndarray:
@@ -191,9 +193,12 @@ def _possible(na, pa_, nb, pb, num, den):
     return (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) + np.minimum(pa_, pb) >= need)
 
 
-def _pairs_frame(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     low, high = np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))
-    both = np.unique(np.stack([low, high], 1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
+    return np.unique(np.stack([low, high], 1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
+
+
+def _pairs_frame(both: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
@@ -201,7 +206,7 @@ def _neighbours(entries: DataFrame, num: int, den: int) -> DataFrame:
     def run(table):
         number, sid, size, pos = _lists(binaries(table.column("entries")))
         near = np.flatnonzero((number[1:] == number[:-1]) & _possible(size[1:], pos[1:], size[:-1], pos[:-1], num, den)) if len(number) > 1 else np.zeros(0, np.int64)
-        return pa.Table.from_batches([_pairs_frame(sid[near], sid[near + 1])])
+        return pa.Table.from_batches([_pairs_frame(_distinct_pairs(sid[near], sid[near + 1]))])
 
     return entries.groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
@@ -258,20 +263,29 @@ def _across(members: DataFrame, num: int, den: int, best: bool = False) -> DataF
 
     def run(batches):
         tail: list[np.ndarray] | None = None
+        held, size = [], 0
         for b in batches:
             cols = [c.to_numpy() for c in b.columns[:-1]] + [np.frombuffer(b"".join(b.columns[-1].to_pylist()), np.uint64).reshape(-1, BRIEF // 8)]
             cols = [np.concatenate((t, c)) for t, c in zip(tail, cols)] if tail else cols
             part, lst = cols[0], cols[1]
             cut = int(np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (lst[1:] != lst[:-1])])[-1]) if len(part) else 0
-            yield from work([c[:cut] for c in cols])
-            tail = [c[cut:] for c in cols]
+            held.append(work([c[:cut] for c in cols]))
+            tail, size = [c[cut:] for c in cols], size + len(held[-1])
+            if size >= HELD_PAIRS:  # a pair's lists are spread over many batches
+                held = [np.unique(np.concatenate(held), axis=0)]
+                size = len(held[0])
+                if 2 * size >= HELD_PAIRS:
+                    yield _pairs_frame(held[0])
+                    held, size = [], 0
         if tail:
-            yield from work(tail)
+            held.append(work(tail))
+        if held:
+            yield _pairs_frame(np.unique(np.concatenate(held), axis=0))
 
     def work(cols):
         part, lst, sid, size, pos, comp, bits = cols
         if not len(part):
-            return
+            return np.zeros((0, 2), np.int64)
         heads = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (lst[1:] != lst[:-1])])
         ends = np.append(heads[1:], len(part))
         two = (ends - heads == 2)
@@ -285,7 +299,7 @@ def _across(members: DataFrame, num: int, den: int, best: bool = False) -> DataF
                 a, b = pairs(size[s:e], pos[s:e], comp[s:e], bits[s:e])
                 left.append(sid[s + a])
                 right.append(sid[s + b])
-        yield _pairs_frame(np.concatenate(left), np.concatenate(right))
+        return _distinct_pairs(np.concatenate(left), np.concatenate(right))
 
     return members.mapInArrow(run, "a long, b long")
 
