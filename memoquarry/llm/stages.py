@@ -14,6 +14,10 @@ from memoquarry.llm import decontam, jaccard, packing, suffixes, toxicity
 from memoquarry.llm.common import Scratch, keyed, table, tune
 
 
+#: Near copies in the pipeline: words in a shingle, and the least similarity as a fraction.
+STAGE_WORDS, STAGE_NUMERATOR, STAGE_DENOMINATOR = 5, 80, 100
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, text, and the whole row apart, so that helper columns cannot clash with its own."""
     return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -37,10 +41,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the smallest id (then row key) stays; texts without words stay."""
+    """Near copies share 80 % of their 5-word shingles.  Of each component the row with the smallest id (then row key) stays; texts without words stay."""
     rows = keyed(_rows(docs), Scratch(spark, "near-copies"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    kept = jaccard.classes(rows.select("rid", "doc_id", "text")).groupBy("component").agg(F.min(place).alias("at")).select(F.col("at.rid").alias("rid"))
+    kept = jaccard.classes(rows.select("rid", "doc_id", "text"), STAGE_WORDS, STAGE_NUMERATOR, STAGE_DENOMINATOR).groupBy("component").agg(F.min(place).alias("at")).select(F.col("at.rid").alias("rid"))
     return rows.select("rid", "row").join(kept, "rid", "left_semi").select("row.*")
 
 

@@ -210,6 +210,16 @@ def test_stages_keep_columns(spark, docs):
     assert stages.drop_near_copies(spark, docs, d).filter(F.col("doc_id").isin(5, 6, 7)).count() == 1
 
 
+def test_near_copies_stage_threshold(spark):
+    """One word changed in the middle of n: (n - 9) / (n + 1) of the 5-word shingles are shared, 0.8 at 49 words."""
+    rows = []
+    for k, n in enumerate((48, 49)):
+        words = [f"w{k}x{i}" for i in range(n)]
+        rows += [(10 * k + 1, " ".join(words)), (10 * k + 2, " ".join(words[:20] + ["other"] + words[21:]))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(x.doc_id for x in stages.drop_near_copies(spark, docs, "").collect()) == [1, 2, 11]
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
