@@ -16,6 +16,8 @@ from memoquarry.llm.common import Scratch, keyed, table, tune
 
 #: Near copies in the pipeline: words in a shingle, and the least similarity as a fraction.
 STAGE_WORDS, STAGE_NUMERATOR, STAGE_DENOMINATOR = 5, 80, 100
+#: Repeated passages in the pipeline: over 50 words.
+PASSAGE_WORDS = 51
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -63,10 +65,10 @@ def _cut_column(rows: DataFrame, cut, schema: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every repeated string of 400 bytes goes from every text; a character that a cut splits goes too."""
+    """Every repeated passage of ``PASSAGE_WORDS`` words and every repeated string of 400 bytes (long words) goes from every text; a character that a cut splits goes too."""
     rows = keyed(_rows(docs), Scratch(spark, "repeats"))
     schema = f"row {docs_type(docs)}, text string, changed boolean"
-    done = _cut_column(suffixes.with_spans(rows), lambda t, s: suffixes.cut(t, suffixes.united(s)), schema)
+    done = _cut_column(suffixes.with_passages(rows, PASSAGE_WORDS), suffixes.cut_passages, schema)
     return done.select(*_with_text(docs, "row", F.col("text")))
 
 

@@ -30,6 +30,7 @@ repeated ids are kept apart by row; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoquarry.llm.common import Scratch, binaries, keyed, mix, release, tune
+from memoquarry.llm.common import Hashes, Scratch, binaries, keyed, mix, release, tune
 
 LENGTH = 400
 WINDOW = 200
@@ -45,6 +46,14 @@ GRAM = 16
 PIECE = 4 << 20
 RUN_ANCHORS = 40_000
 PART_ANCHORS = 12_000
+#: Bytes of a word's hash where repeats are counted in words.
+SYMBOL = 5
+#: Scripts written without spaces, each of whose characters is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(f"[{UNSPACED}]|[^ \\t\\n\\r\\x0b\\x0c{UNSPACED}]+")
+SPACED_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+#: A byte that begins a character of three or four bytes, as those of unspaced scripts are.
+LONG_CHARACTER = re.compile(rb"[\xe0-\xff]")
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -102,6 +111,26 @@ def context_hash(text: bytes, place: int, width: int) -> int:
     return xxhash.xxh3_64_intdigest(text[place : place + width])
 
 
+def word_places(text: bytes) -> list[tuple[int, int]]:
+    """Byte range of each word."""
+    if not LONG_CHARACTER.search(text):
+        return [m.span() for m in SPACED_WORD.finditer(text)]
+    out, at, seen = [], 0, 0
+    whole = text.decode()
+    for m in WORD.finditer(whole):
+        at += len(whole[seen : m.start()].encode())
+        end = at + len(m[0].encode())
+        out.append((at, end))
+        at, seen = end, m.end()
+    return out
+
+
+def word_symbols(text: bytes, hashes: Hashes) -> bytes:
+    """``SYMBOL`` bytes for each word."""
+    words = text.split() if not LONG_CHARACTER.search(text) else [w.encode() for w in WORD.findall(text.decode())]
+    return hashes.array(words).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SYMBOL].tobytes()
+
+
 def _common(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix, of which ``known`` bytes are given."""
     n = min(len(a), len(b))
@@ -242,8 +271,8 @@ def repeats_of(entries: list, length: int = LENGTH, window: int = WINDOW):
         yield entries[i][2][1], a, b
 
 
-def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """(rid, spans): byte ranges [start, end) that repeated strings cover, for rows that have some.  ``docs``: rid, text."""
+def find_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """(rid, start, end): byte ranges [start, end) that repeated strings cover; at each place in one but its last ``length - 1`` a repeated string starts.  ``docs``: rid, text."""
     spark = docs.sparkSession
     tune(spark)
     floor = length - window + 1
@@ -319,7 +348,30 @@ def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, window
 
     spans = scratch.write(sent.groupBy("part").applyInArrow(merge, "rid long, start long, end long"), "spans")
     release(spark)
-    return spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.array("start", "end"))).alias("spans"))
+    return spans
+
+
+def find_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """(rid, spans) for rows that have some, each span a range of ``find_ranges``."""
+    return find_ranges(docs, scratch, length, window).groupBy("rid").agg(F.sort_array(F.collect_list(F.array("start", "end"))).alias("spans"))
+
+
+def find_word_ranges(docs: DataFrame, scratch: Scratch, words: int) -> DataFrame:
+    """(rid, start, end): ranges of words, counted from 0, that repeated runs of ``words`` words cover.  ``docs``: rid, text.
+
+    Words become symbols of equal width, and repeated strings of ``words`` symbols are found; those
+    that start inside a symbol are not runs of words and go.
+    """
+
+    def encode(batches):
+        hashes = Hashes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_symbols(t or b"", hashes) for t in binaries(b.column(1))], pa.binary())], names=["rid", "text"])
+
+    tune(docs.sparkSession)
+    length = words * SYMBOL
+    found = find_ranges(docs.select("rid", "text").mapInArrow(encode, "rid long, text binary"), scratch, length, length // 2)
+    return found.select("rid", F.ceil(F.col("start") / SYMBOL).alias("start"), F.floor(F.col("end") / SYMBOL).alias("end")).filter(F.col("end") - F.col("start") >= words)
 
 
 def united(spans: list | None) -> list[tuple[int, int]]:
@@ -347,6 +399,26 @@ def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.join(find_repeats(docs.select("rid", "text"), scratch, length, length // 2), "rid", "left")
 
 
+def with_passages(docs: DataFrame, words: int, length: int = LENGTH) -> DataFrame:
+    """``docs`` (with text and a unique key ``rid``) and ``spans``: ranges of words in repeated runs of ``words`` words, and of bytes in repeated strings of ``length`` bytes (null without either)."""
+    spark = docs.sparkSession
+    rows = docs.select("rid", "text")
+    by_word = find_word_ranges(rows, Scratch(spark, "passages"), words)
+    by_byte = find_ranges(rows, Scratch(spark, "suffixes"), length, length // 2)
+    both = by_word.withColumn("unit", F.lit("words")).unionByName(by_byte.withColumn("unit", F.lit("bytes")))
+    own = lambda unit: F.collect_list(F.when(F.col("unit") == unit, F.array("start", "end"))).alias(unit)
+    return docs.join(both.groupBy("rid").agg(own("words"), own("bytes")).select("rid", F.struct("words", "bytes").alias("spans")), "rid", "left")
+
+
+def cut_passages(text: bytes, spans: dict) -> bytes:
+    """``text`` without the ranges that ``with_passages`` gives."""
+    ranges = [tuple(x) for x in spans["bytes"]]
+    if spans["words"]:
+        places = word_places(text)
+        ranges += [(places[a][0], places[b - 1][1]) for a, b in spans["words"]]
+    return cut(text, united(sorted(ranges)))
+
+
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Operator 8's digest: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = with_spans(keyed(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "suffixes-docs")), length).select("doc_id", "text", "spans")

@@ -220,6 +220,39 @@ def test_near_copies_stage_threshold(spark):
     assert sorted(x.doc_id for x in stages.drop_near_copies(spark, docs, "").collect()) == [1, 2, 11]
 
 
+def test_repeats_stage_cuts_passages_of_51_words(spark):
+    r3 = random.Random(7)
+    own = lambda: " ".join(f"{r3.randrange(10**6)}" for _ in range(60))
+    words = [f"q{i:03}x" for i in range(101)]
+    long, short, chinese, solid = " ".join(words[:51]), " ".join(words[51:]), "".join(chr(0x4E00 + i) for i in range(51)), "".join(chr(97 + i * i % 26) + str(i) for i in range(150))
+    assert len(long) < 400 and len(solid) > 400
+    texts = []
+    for k in range(2):
+        texts += [f"{own()} {long.replace(' ', chr(10)) if k else long} {own()}", f"{own()} {short} {own()}", f"{own()} é{k}{chinese}。{own()}", f"{own()} {solid} {own()}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {x.doc_id: x.text for x in stages.cut_repeats(spark, docs, "").collect()}
+    for k in (0, 4):
+        assert got[k].split() == [w for w in texts[k].split() if w not in words]
+        assert got[k + 1] == texts[k + 1]
+        assert got[k + 2] == texts[k + 2].replace(chinese, "")
+        assert solid not in got[k + 3] and got[k + 3].split()[:59] == texts[k + 3].split()[:59]
+
+
+def test_word_ranges_against_brute_force(spark):
+    r4 = random.Random(9)
+    texts = [" ".join(r4.choice("ab") for _ in range(r4.randint(0, 40))) for _ in range(60)] + ["a " * 30, "", None]
+    seen = defaultdict(int)
+    split = [(t or "").split() for t in texts]
+    for w in split:
+        for i in range(len(w) - 6):
+            seen[tuple(w[i : i + 7])] += 1
+    want = {i: covered for i, w in enumerate(split) if (covered := sorted({p for j in range(len(w) - 6) if seen[tuple(w[j : j + 7])] > 1 for p in range(j, j + 7)}))}
+    got = defaultdict(set)
+    for x in suffixes.find_word_ranges(spark.createDataFrame(list(enumerate(texts)), "rid long, text string"), Scratch(spark, "test"), 7).collect():
+        got[x.rid] |= set(range(x.start, x.end))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
