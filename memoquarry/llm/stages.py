@@ -82,7 +82,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from memoquarry.llm.registry import tokenizer_path
 
-    return packing.pack(docs.select("doc_id", "text"), tokenizer or tokenizer_path(), keep_ids=False)
+    return packing.pack(docs.select("doc_id", "text"), tokenizer or tokenizer_path())
 
 
 def docs_type(docs: DataFrame) -> str:

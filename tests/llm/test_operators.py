@@ -220,6 +220,15 @@ def test_near_copies_stage_threshold(spark):
     assert sorted(x.doc_id for x in stages.drop_near_copies(spark, docs, "").collect()) == [1, 2, 11]
 
 
+def test_pack_stage_returns_token_ids(spark):
+    from tokenizers import Tokenizer
+
+    text = prose(3000)
+    out = stages.pack(spark, spark.createDataFrame([(1, text)], SCHEMA), "").collect()
+    ids = [i for x in sorted(out, key=lambda x: x.start) for i in np.frombuffer(bytes(x.ids), "<u4").tolist()]
+    assert ids == [*Tokenizer.from_file(registry.tokenizer_path()).encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_repeats_stage_cuts_passages_of_51_words(spark):
     r3 = random.Random(7)
     own = lambda: " ".join(f"{r3.randrange(10**6)}" for _ in range(60))
