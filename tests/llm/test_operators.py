@@ -146,6 +146,23 @@ def test_extraction(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+def extracted(spark, rows):
+    return {x.page_id: x.text for x in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_extraction_counts_over_the_whole_host(spark, monkeypatch):
+    """Boilerplate on three of many pages, or in most of few articles, and the same texts however the host is cut."""
+    foot, note = prose(12), prose(10)
+    rows = [(i, f"http://h/{i}", f"<article>art {i} {prose(15)}<p>{note}</p></article>" + (f"<div>{foot}</div>" if i in (3, 21, 37) else "")) for i in range(40)]
+    rows += [(100 + i, f"http://two/{i}", f"<div>{foot}</div><div>body {i} {prose(9)}</div>") for i in range(2)]
+    rows += [(200 + i, f"http://copies/{i}", f"<article>{BASE}</article><div>card {i}</div>") for i in range(9)]
+    whole = extracted(spark, rows)
+    assert not any(foot in t or note in t for t in whole.values())
+    assert all(whole[200 + i] == " ".join(BASE.split()) for i in range(9))
+    monkeypatch.setattr(extract, "SHARD_PAGES", 4)
+    assert extracted(spark, rows) == whole
+
+
 def test_topk_search(spark):
     g = np.random.default_rng(1)
     x = g.normal(size=(400, 8)).astype(np.float32)
