@@ -4,7 +4,7 @@ A page is cut into blocks of words, each in one of three zones: ``article`` (ins
 element), ``loose`` (other text), and ``chrome`` (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, by element, role, class and id).  The word streams of a host's pages, all zones, are
 concatenated and their suffixes sorted by ``RUN`` words through prefix doubling; equal neighbours are
-runs that repeat.  Outside an article those on ``LOOSE_PAGES`` distinct pages
+runs, or whole blocks of fewer words, that repeat.  Outside an article those on ``LOOSE_PAGES`` distinct pages
 (on both, if the host has two) are boilerplate; inside one, only what at least ``ARTICLE_PAGES`` and more than
 ``ARTICLE_SHARE`` of the host's distinct articles have (a copied article or a quoted passage is content).
 All else outside chrome stays; pages with an article keep no loose text.
@@ -157,6 +157,7 @@ def repeated(text: np.ndarray, kind: np.ndarray, owner: np.ndarray, short: np.nd
     whole = np.zeros(n, bool)  # a run must not run over a block's end
     zero = np.concatenate(([0], np.cumsum(text == 0)))
     whole[: n - run + 1] = zero[run:] == zero[:-run]
+    whole[short] = True
     at = np.flatnonzero(whole)
     rank = rank[at] * 2 + kind[at]
     order = np.lexsort((owner[at], rank))

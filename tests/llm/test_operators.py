@@ -150,6 +150,11 @@ def extracted(spark, rows):
     return {x.page_id: x.text for x in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_extraction_of_short_repeated_blocks(spark):
+    got = extracted(spark, [(i, f"http://h/{i}", f"<div>Read more</div><div>own {prose(9)} {i} Read more</div>") for i in range(4)])
+    assert all(t.startswith("own ") and t.endswith(f"{i} Read more") for i, t in got.items())
+
+
 def test_extraction_counts_over_the_whole_host(spark, monkeypatch):
     """Boilerplate on three of many pages, or in most of few articles, and the same texts however the host is cut."""
     foot, note = prose(12), prose(10)
