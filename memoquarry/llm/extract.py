@@ -7,7 +7,7 @@ concatenated and their suffixes sorted by ``RUN`` words through prefix doubling;
 runs, or whole blocks of fewer words, that repeat.  Outside an article those on ``LOOSE_PAGES`` distinct pages
 (on both, if the host has two) are boilerplate; inside one, only what at least ``ARTICLE_PAGES`` and more than
 ``ARTICLE_SHARE`` of the host's distinct articles have (a copied article or a quoted passage is content).
-All else outside chrome stays; pages with an article keep no loose text.
+All else outside chrome stays, beside an article too.
 
 Blocks are sent to their host, sorted by article, and cut into shards of at most ``SHARD_PAGES`` pages and
 ``SHARD_BYTES`` bytes; hosts with over 1/200 of all pages are dealt over several partitions first.  Equal
@@ -220,10 +220,9 @@ class Shard:
         covered = np.cumsum(edge) > 0
         out, k = [], 0
         for blocks in self.parsed:
-            wanted = ARTICLE if any(z == ARTICLE for z, _ in blocks) else LOOSE
             kept = []
             for z, words in blocks:
-                if z == wanted:
+                if z != CHROME:
                     mask = covered[self.starts[k] : self.starts[k] + len(words)]
                     kept += [w for w, c in zip(words, mask.tolist()) if not c] if mask.any() else words
                 k += 1

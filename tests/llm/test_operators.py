@@ -155,6 +155,11 @@ def test_extraction_of_short_repeated_blocks(spark):
     assert all(t.startswith("own ") and t.endswith(f"{i} Read more") for i, t in got.items())
 
 
+def test_extraction_keeps_loose_text_beside_an_article(spark):
+    got = extracted(spark, [(i, f"http://h/{i}", f"<div>main text {prose(30)} {i}</div><article>teaser {i}</article><div>after {i}</div>") for i in range(3)])
+    assert all(t.startswith("main text ") and t.endswith(f"{i} teaser {i} after {i}") for i, t in got.items())
+
+
 def test_extraction_counts_over_the_whole_host(spark, monkeypatch):
     """Boilerplate on three of many pages, or in most of few articles, and the same texts however the host is cut."""
     foot, note = prose(12), prose(10)
@@ -163,7 +168,7 @@ def test_extraction_counts_over_the_whole_host(spark, monkeypatch):
     rows += [(200 + i, f"http://copies/{i}", f"<article>{BASE}</article><div>card {i}</div>") for i in range(9)]
     whole = extracted(spark, rows)
     assert not any(foot in t or note in t for t in whole.values())
-    assert all(whole[200 + i] == " ".join(BASE.split()) for i in range(9))
+    assert all(whole[200 + i] == f"{' '.join(BASE.split())} card {i}" for i in range(9))
     monkeypatch.setattr(extract, "SHARD_PAGES", 4)
     assert extracted(spark, rows) == whole
 
