@@ -8,7 +8,7 @@
    position) in packed blocks by shingle range.
 3. Lists are walked in order of size.  First only neighbours in a list are proposed, then for each
    member the one that looks nearest, and the proven ones are joined into components.  Then each list is walked again: members
-   of one component are skipped, since their answers follow from each other, and of the rest only
+   of one component are skipped, since only components are wanted (their links are not all computed), and of the rest only
    blocks of positions whose bound (1 + what remains after the position) and size
    can reach the threshold are paired.
 4. Pairs are dropped if parity bitmaps, whose distance bounds the sets' difference
