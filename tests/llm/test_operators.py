@@ -192,23 +192,52 @@ def test_topk_search(spark):
 def test_toxicity(spark, docs):
     r2 = random.Random(3)
     sample = [(i, " ".join(r2.choice(WORDS) for _ in range(60)) + (" vileword foulterm" * 3 if i % 4 == 0 else "")) for i in range(400)]
-    df = spark.createDataFrame(sample, SCHEMA)
+    df = spark.createDataFrame([(*x, "clash", 1.0) for x in sample], SCHEMA + ", nearest string, score double")
     labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(400)] + [(9999, 1, 1), (None, 1, 0)], "doc_id long, toxic int, quality int")
     got = {x.doc_id: x for x in toxicity.toxicity(df, labels).collect()}
     held = [x for x in got.values() if x.held_out]
     assert all(x.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, x in got.items())
     assert np.mean([x.predicted == (x.doc_id % 4 == 0) for x in held]) > 0.97
     scorer = toxicity.fit(df, labels)
-    bag = dict(toxicity.terms_of(sample[8][1].encode()))
-    best, cosine = scorer.index.nearest([bag], 20)[0]
-    term, weight = scorer.index.vector(bag)
-    full = np.zeros(len(scorer.index.ids))
-    for i, d in enumerate(scorer.index.ids.tolist()):
-        t2, w2 = scorer.index.vector(dict(toxicity.terms_of(sample[d][1].encode())))
-        full[i] = sum(a * w2[list(t2).index(t)] for t, a in zip(term, weight) if t in t2)
-    assert cosine == pytest.approx(np.sort(full)[::-1][:20], abs=1e-5)
+    index, text_of = scorer.index, dict(sample)
+
+    def dense(text):
+        padded, out = toxicity.spaced(text), np.zeros(len(scorer.terms.names))
+        for i, name in enumerate(scorer.terms.names):
+            n = sum(padded.startswith(name, at) for at in range(len(padded)))
+            out[index.place[i]] = (1 + np.log(n)) * index.idf[index.place[i]] if n else 0
+        return out / max(np.linalg.norm(out), 1e-12)
+
+    examples = np.stack([dense(text_of[d]) for d in index.ids.tolist()])
+    for i in range(0, 400, 7):  # votes and curve by brute force; an example does not vote on its own text
+        cosine = examples @ dense(text_of[i])
+        cosine[index.ids == i] = 0
+        order = np.lexsort((np.arange(len(cosine)), -cosine))[:20]
+        order = order[cosine[order] > 1e-9]
+        if not len(order):
+            assert got[i].score == scorer.share
+            continue
+        edge = cosine[order[-1]]
+        assert [x.cosine for x in got[i].nearest] == pytest.approx(cosine[order][:3], abs=1e-5)
+        if (np.abs(cosine - edge) < 1e-6).sum() == 1 or len({*index.labels[np.abs(cosine - edge) < 1e-6]}) == 1:
+            v = np.clip((cosine[order] ** 2 * index.labels[order]).sum() / (cosine[order] ** 2).sum(), 0.01, 0.99)
+            assert got[i].score == pytest.approx(1 / (1 + np.exp(-(scorer.curve[0] * np.log(v / (1 - v)) + scorer.curve[1]))), abs=1e-4)
     assert toxicity.toxicity(docs, labels).count() == len(ROWS)
     assert {x.score for x in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_of_a_copied_row_and_unspaced_script(spark):
+    """A labelled text and its copy score alike, without their own label; an unspaced script is read to its end."""
+    r2 = random.Random(4)
+    han = lambda bad: "".join(chr(0x4E00 + r2.randrange(900)) for _ in range(80)) + ("\u5783\u573e\u8d27" if bad else "")
+    sample = [(i, han(i % 3 == 0)) for i in range(240)] + [(1000, "odd one out"), (1001, "odd one out")]
+    df = spark.createDataFrame(sample, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)] + [(1000, 1)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.toxicity(df, labels).collect()}
+    held = [x for i, x in got.items() if x.held_out and i < 240]
+    assert len(held) > 30 and all(x.predicted == (x.doc_id % 3 == 0) for x in held)
+    assert got[1000].score == got[1001].score < 0.5
 
 
 def test_resampling(spark, docs):
