@@ -1,28 +1,30 @@
-"""Operator 2, exact Jaccard join of word shingle sets, and its components.
+"""Operator 2, exact Jaccard join of word shingle sets: links, and their components.
 
-1. Every text becomes its set of hashed ``WORDS``-word shingles.  Equal sets are one class from
-   here on (a set's answers are those of an equal set), so copies cost one row each.
+1. Every text becomes its set of hashed ``WORDS``-word shingles, written once.  Equal sets are one class
+   from here on (a set's answers are those of an equal set), so copies cost one row each.
 2. Shingles are ordered frequent-last: those in over ``COMMON`` of all documents, counted over
    all documents, come after all others; hashes order the rest.  Two sets that reach the
    threshold share a shingle in their prefixes, so prefixes are indexed: (shingle, set, size,
    position) in packed blocks by shingle range.
 3. Lists are walked in order of size.  First only neighbours in a list are proposed, then for each
    member the one that looks nearest, and the proven ones are joined into components.  Then each list is walked again: members
-   of one component are skipped, since only components are wanted (their links are not all computed), and of the rest only
-   blocks of positions whose bound (1 + what remains after the position) and size
-   can reach the threshold are paired.
+   of one component are skipped, and of the rest only blocks of positions whose bound (1 + what
+   remains after the position) and size can reach the threshold are paired.
 4. Pairs are dropped if parity bitmaps, whose distance bounds the sets' difference
-   from below, already exceed what the threshold allows; the rest are compared exactly.  A set's
-   pairs are compared one after another, each overlap derived from the one before through
-   the two partners' difference where that is the shorter way.
+   from below, already exceed what the threshold allows; the rest are compared exactly.
 5. Components are closed by large-star and small-star rounds on the class graph.
-
-A group of near copies costs a chain of neighbours in each of its lists, not all its pairs.  A task
-holds the entries of one shingle range (24 bytes each; ranges grow in number with the input).
-
-Defined results: null, empty and blank texts have no shingles and stand alone; texts of fewer
-words than ``WORDS`` have one shingle, the whole sequence; repeated rows and ids belong to one
-class; a null id is a component of its own class (its smallest id is taken among non-null ids).
+6. Links join members of one component only.  There each set is held as its difference X from one set of the
+   component, the pivot, and the answers of all members follow from these: |a xor b| = |Xa| + |Xb| - 2 |Xa and Xb|.
+   Pairs that |Xa| + |Xb| already admits, or ||Xa| - |Xb|| already excludes, are settled without a look at the
+   differences.  Large components are cut into blocks, and a task counts the links between two blocks.
+
+A group of near copies costs a chain of neighbours in each of its lists; its links are counted, not emitted.  A task
+holds the entries of one shingle range (24 bytes each; ranges grow in number with the input), or two blocks of differences.
+
+Defined results: null, empty and blank texts have no shingles, stand alone and have no links; texts of fewer
+words than ``WORDS`` have one shingle, the whole sequence; texts are read whole, however long; repeated rows and ids belong to one
+class, and each row links with every other row of it; a null id is a component of its own class (its smallest id is taken among
+non-null ids); an empty table gives an empty result; other columns, whatever their names, are ignored.
 Shingles are 64-bit hashes; sets are told apart by 128 bits.
 """
 
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoquarry.llm.common import Hashes, Scratch, binaries, keyed, mix, release, tune
+from memoquarry.llm.common import Hashes, Scratch, binaries, keyed, mix, ragged, release, tune
 
 WORDS = 4
 NUMERATOR, DENOMINATOR = 85, 100
@@ -98,11 +100,26 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def common_shingles(docs: DataFrame, total: int, words: int) -> np.ndarray:
+def _facts(docs: DataFrame, words: int) -> DataFrame:
+    """rid, n (set size), sid and sid2 (the set's digest), parity bitmap, its short form, and the set itself."""
+
+    def run(batches):
+        hashes = Hashes()
+        for b in batches:
+            sets = [shingles(t, hashes, words) for t in binaries(b.column(1))]
+            digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+            bits = [parity(s) for s in sets]
+            low, high = (np.array([d >> k & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64) for k in (0, 64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(low), pa.array(high), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([brief(x).tobytes() for x in bits], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "n", "sid", "sid2", "parity", "brief", "set"])
+
+    return docs.select("rid", "text").mapInArrow(run, "rid long, n long, sid long, sid2 long, parity binary, brief binary, set binary")
+
+
+def common_shingles(facts: DataFrame, total: int) -> np.ndarray:
     """Shingles that a share ``COMMON`` of all documents have, counted per chunk and summed."""
 
     def run(batches):
-        hashes, held, docs_held, size = Hashes(), [], 0, 0
+        held, docs_held, size = [], 0, 0
 
         def flush():
             value, n = np.unique(np.concatenate(held), return_counts=True)
@@ -110,26 +127,25 @@ def common_shingles(docs: DataFrame, total: int, words: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
 
         for b in batches:
-            sets = [shingles(t, hashes, words) for t in binaries(b.column(0))]
-            held += sets
-            docs_held, size = docs_held + len(sets), size + b.nbytes
+            held += [np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]
+            docs_held, size = docs_held + b.num_rows, size + b.nbytes
             if size >= CHUNK_BYTES:
                 yield flush()
                 held, docs_held, size = [], 0, 0
         if held:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = facts.select("set").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     often = counted.filter(F.col("n") >= max(2, int(COMMON * total))).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST)
-    return np.sort(np.array([r[0] for r in often.select("shingle").collect()], np.int64).view(np.uint64))
+    return np.sort(often.select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _sets_and_entries(docs: DataFrame, common: np.ndarray, ranges: int, words: int, num: int, den: int) -> DataFrame:
-    """Rows of two kinds: a document (rid, n, digest, parity), or a block of prefix entries (part, entries)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)  # bounded by COMMON_MOST
+def _entries(facts: DataFrame, common: np.ndarray, ranges: int, num: int, den: int) -> DataFrame:
+    """Packed blocks of prefix entries: (part, entries)."""
+    shared = facts.sparkSession.sparkContext.broadcast(common)  # bounded by COMMON_MOST
 
     def run(batches):
-        hashes, common, known = Hashes(), shared.value, set()
+        common, known = shared.value, set()
         held: list[tuple] = []
         size = 0
 
@@ -140,35 +156,26 @@ def _sets_and_entries(docs: DataFrame, common: np.ndarray, ranges: int, words: i
             part, rows = part[order], np.stack([token, sid, n.astype(np.uint64) << np.uint64(32) | pos.astype(np.uint64)], 1)[order]
             heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             ends = np.append(heads[1:], len(part))
-            k = len(heads)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(part[heads].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(part[heads].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary())], names=["part", "entries"])
 
-        names = ["rid", "n", "sid", "sid2", "parity", "brief", "part", "entries"]
         for b in batches:
-            sets = [shingles(t, hashes, words) for t in binaries(b.column(1))]
-            digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            out = []
-            for s, d in zip(sets, digests):
-                bits = parity(s)
-                out.append((len(s), d & (1 << 64) - 1, d >> 64, bits.tobytes(), brief(bits).tobytes()))
-                if not len(s) or d in known:
+            for sid, blob in zip(b.column(0).to_numpy().view(np.uint64), b.column(1).to_pylist()):
+                if not blob or sid in known:
                     continue
                 if len(known) < 500_000:
-                    known.add(d)
+                    known.add(sid)
+                s = np.frombuffer(blob, np.uint64)
                 last = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(len(s), bool)
                 first = np.concatenate((s[~last], s[last]))[: prefix_length(len(s), num, den)]
-                held.append((first, np.full(len(first), d & (1 << 64) - 1, np.uint64), np.full(len(first), len(s)), np.arange(len(first))))
+                held.append((first, np.full(len(first), sid, np.uint64), np.full(len(first), len(s)), np.arange(len(first))))
                 size += 24 * len(first)
-            if out:
-                n, low, high, bits, short = zip(*out)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(short, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
             if size >= CHUNK_BYTES:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, n long, sid long, sid2 long, parity binary, brief binary, part int, entries binary")
+    return facts.select("sid", "set").mapInArrow(run, "part int, entries binary")
 
 
 def _lists(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -202,13 +209,16 @@ def _pairs_frame(both: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def _neighbours(entries: DataFrame, num: int, den: int) -> DataFrame:
-    def run(table):
-        number, sid, size, pos = _lists(binaries(table.column("entries")))
-        near = np.flatnonzero((number[1:] == number[:-1]) & _possible(size[1:], pos[1:], size[:-1], pos[:-1], num, den)) if len(number) > 1 else np.zeros(0, np.int64)
-        return pa.Table.from_batches([_pairs_frame(_distinct_pairs(sid[near], sid[near + 1]))])
+def _neighbours(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Neighbours within a list, as the written lists have them (a list cut by a split loses one pair, which a later walk finds)."""
+
+    def run(batches):
+        for b in batches:
+            part, number, sid, size, pos = (b.column(i).to_numpy() for i in range(5))
+            near = np.flatnonzero((part[1:] == part[:-1]) & (number[1:] == number[:-1]) & _possible(size[1:], pos[1:], size[:-1], pos[:-1], num, den)) if len(part) > 1 else np.zeros(0, np.int64)
+            yield _pairs_frame(_distinct_pairs(sid[near], sid[near + 1]))
 
-    return entries.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+    return members.select("part", "list", "sid", "n", "pos").mapInArrow(run, "a long, b long").distinct()
 
 
 def _memberships(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -304,29 +314,7 @@ def _across(members: DataFrame, num: int, den: int, best: bool = False) -> DataF
     return members.mapInArrow(run, "a long, b long")
 
 
-class Deriver:
-    """Overlaps of one set with partner after partner, each derived from the last where that is shorter."""
-
-    def __init__(self, own: np.ndarray):
-        self.own, self.last, self.count = own, None, 0
-
-    def __call__(self, other: np.ndarray) -> int:
-        if self.last is not None and len(self.last) and len(other):
-            gone, new = np.setdiff1d(self.last, other, assume_unique=True), np.setdiff1d(other, self.last, assume_unique=True)
-            if len(gone) + len(new) < len(other) // 2:
-                self.count += int(self._in(new)) - int(self._in(gone))
-                self.last = other
-                return self.count
-        self.last, self.count = other, int(self._in(other))
-        return self.count
-
-    def _in(self, some: np.ndarray) -> int:
-        at = np.searchsorted(self.own, some)
-        at[at == len(self.own)] = 0
-        return (self.own[at] == some).sum() if len(self.own) else 0
-
-
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, reps: DataFrame, facts: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs of hash ids whose sets link, as pairs of class ids (their representatives' row keys)."""
     side = lambda x: reps.select(F.col("sid").alias(x), F.col("class").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb")
@@ -340,31 +328,112 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, num:
 
     likely = scratch.write(met.select("ca", "cb", "na", "nb", "pa", "pb").mapInArrow(prune, "ca long, cb long").distinct(), f"likely-{name}")
     wanted = likely.select(F.col("ca").alias("rid")).union(likely.select("cb")).distinct()
+    sets = scratch.write(facts.select("rid", "set").join(wanted, "rid", "left_semi"), f"sets-{name}")
+    joined = likely.join(sets.select(F.col("rid").alias("cb"), F.col("set").alias("other")), "cb").join(sets.select(F.col("rid").alias("ca"), "set"), "ca")
 
-    def sets(batches):
-        hashes = Hashes()
+    def compare(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, hashes, words).tobytes() for t in binaries(b.column(1))], pa.binary())], names=["rid", "set"])
+            own, other = b.column(2).to_pylist(), b.column(3).to_pylist()
+            keep = pa.array([overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least_overlap(len(x) // 8, len(y) // 8, num, den) for x, y in zip(own, other)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    texts = scratch.write(docs.select("rid", "text").join(wanted, "rid").select("rid", "text").mapInArrow(sets, "rid long, set binary"), f"sets-{name}")
-    other = texts.select(F.col("rid").alias("cb"), F.col("set").alias("other"))
-    # the pairs of one set come in blocks, so a set with very many partners is compared by several tasks
-    salted = likely.withColumn("salt", F.pmod(F.xxhash64("cb"), F.lit(8)))
-    joined = salted.join(other, "cb").join(texts.select(F.col("rid").alias("ca"), "set"), "ca").sortWithinPartitions("ca", "salt")
+    links = scratch.write(joined.select("ca", "cb", "set", "other").mapInArrow(compare, "a long, b long"), f"links-{name}")
+    for part in ("likely", "sets", "proposed"):
+        scratch.drop(f"{part}-{name}")
+    return links
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Members that two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(b):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+#: Members of a component in one block of its link count, and blocks of one component at most (beyond, blocks grow).
+BLOCK_MEMBERS, BLOCKS = 256, 32
+
+
+def count_links(size: np.ndarray, copies: np.ndarray, diffs: list[np.ndarray], block: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For sets given by their differences from one pivot, the copies of the other sets that each links with.
+
+    ``block``: 0 and 1 for the two blocks, whose cross pairs alone count, or all equal: all pairs count.
+    """
+    x = np.array([len(d) for d in diffs], np.int64)
+    inside = block.min() == block.max()
+    right = np.arange(len(x)) if inside else np.flatnonzero(block == block.max())
+    left = right if inside else np.flatnonzero(block == block.min())
+    if inside and len(left) < 2:
+        return np.zeros(len(x), np.int64)
+    tokens, where = np.unique(np.concatenate([diffs[j] for j in right]), return_inverse=True)
+    by = np.argsort(where, kind="stable")
+    owner = np.repeat(np.arange(len(right)), x[right])[by]
+    start = np.concatenate(([0], np.cumsum(np.bincount(where, minlength=len(tokens))))).astype(np.int64)
+    out = np.zeros(len(x), np.int64)
+    for i in left.tolist():
+        both = size[i] + size[right]
+        most = both - 2 * least_overlap(size[i], size[right], num, den)  # members in which the two may differ
+        linked = x[i] + x[right] <= most
+        open_ = ~linked & (np.abs(x[i] - x[right]) <= most)
+        if open_.any():
+            at = np.searchsorted(tokens, diffs[i])
+            at = at[at < len(tokens)][tokens[at[at < len(tokens)]] == diffs[i][at < len(tokens)]]
+            shared = np.bincount(owner[ragged(start[at], start[at + 1] - start[at])], minlength=len(right))
+            linked |= open_ & (x[i] + x[right] - 2 * shared <= most)
+        if inside:
+            linked[i] = False
+        out[i] += copies[right[linked]].sum()
+        if not inside:
+            out[right[linked]] += copies[i]
+    return out
+
+
+def _links(roots: DataFrame, reps: DataFrame, facts: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(class, linked): the documents of other classes that a class links with.  ``roots``: (node, root) of components of two classes or more."""
+    members = roots.select(F.col("node").alias("class"), "root").union(roots.select("root", "root").distinct())
+    count = members.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    sets = facts.select(F.col("rid").alias("class"), "set")
+    rows = members.join(reps.select("class", "n", "copies"), "class").join(sets, "class")
+    rows = rows.join(count, "root").join(sets.select(F.col("class").alias("root"), F.col("set").alias("pivot")), "root")
+
+    def differ(batches):
+        for b in batches:
+            diffs = [np.setxor1d(np.frombuffer(s, np.uint64), np.frombuffer(p, np.uint64), assume_unique=True).tobytes() for s, p in zip(b.column(5).to_pylist(), b.column(6).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(diffs, pa.binary())], names=["root", "class", "members", "n", "copies", "diff"])
+
+    diffs = rows.select("root", "class", "members", "n", "copies", "set", "pivot").mapInArrow(differ, "root long, class long, members long, n long, copies long, diff binary")
+    blocks = F.least(F.ceil(F.col("members") / BLOCK_MEMBERS), F.lit(BLOCKS)).cast("int")
+    dealt = diffs.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "n", "copies", "block", "diff")
+    met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def count_pairs(batches):
+        held, at = [], None
+
+        def flush():
+            cls, n, copies, block = (np.array(c, np.int64) for c in list(zip(*held))[:4])
+            if at[1] != at[2] and block.min() == block.max():
+                return None  # the other block is empty
+            out = count_links(n, copies, [np.frombuffer(h[4], np.uint64) for h in held], block, num, den)
+            return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(out)], names=["class", "linked"])
 
-    def compare(batches):
-        at, derive = None, None
         for b in batches:
-            ca, cb, own, other = (b.column(i).to_pylist() for i in range(4))
-            keep = []
-            for i in range(len(ca)):
-                if ca[i] != at:
-                    at, derive = ca[i], Deriver(np.frombuffer(own[i], np.uint64))
-                s = np.frombuffer(other[i], np.uint64)
-                keep.append(derive(s) >= least_overlap(len(derive.own), len(s), num, den))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            for root, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (root, i, j) != at:
+                    if held and (frame := flush()):
+                        yield frame
+                    held, at = [], (root, i, j)
+                held.append(row)
+        if held and (frame := flush()):
+            yield frame
 
-    return scratch.write(joined.select("ca", "cb", "set", "other").mapInArrow(compare, "a long, b long"), f"links-{name}")
+    counted = met.mapInArrow(count_pairs, "class long, linked long")
+    return counted.groupBy("class").agg(F.sum("linked").alias("linked"))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -388,49 +457,66 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError("the components have not settled in 99 rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """For rows of rid (a unique key), doc_id and text: rid, doc_id, n_shingles, component (smallest key of the class), component_id."""
+#: Rows of one first member's lists in a task, as a share of all rows; beyond it they are dealt on.
+LEAD_SHARE = 1 / 500
+
+
+def classes(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, links: bool = False) -> DataFrame:
+    """For rows of rid (a unique key), doc_id and text: rid, doc_id, n_shingles, component (smallest key of the class), component_id, and with ``links`` n_links."""
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "jaccard")
-    total = docs.count()
-    common = common_shingles(docs, total, words)
+    facts = scratch.write(_facts(docs, words), "facts")
+    total = facts.count()
+    common = common_shingles(facts, total)
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8000)
-    both = scratch.write(_sets_and_entries(docs, common, ranges, words, num, den), "sets")
-    entries = both.filter("part is not null").select("part", "entries")
-    facts = scratch.write(both.filter("rid is not null").select("rid", "n", "sid", "sid2", "parity", "brief"), "facts")
     # a class for each set: its smallest row; empty sets stand alone
-    reps = scratch.write(facts.filter("n > 0").groupBy("sid", "sid2").agg(F.min("rid").alias("class"), *(F.first(c).alias(c) for c in ("n", "parity", "brief"))), "classes")
-    members = scratch.write(_memberships(entries, num, den), "members")
-    proposed = scratch.write(_neighbours(entries, num, den), "proposed")
-    scratch.drop("sets")
+    reps = scratch.write(facts.filter("n > 0").groupBy("sid", "sid2").agg(F.min("rid").alias("class"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "parity", "brief"))), "classes")
+    members = scratch.write(_memberships(_entries(facts, common, ranges, num, den), num, den), "members")
     release(spark)
-    first = _verify(proposed, reps, docs, words, num, den, scratch, "near")
+    proposed = scratch.write(_neighbours(members, num, den), "proposed-near")
+    found = _verify(proposed, reps, facts, num, den, scratch, "near")
     release(spark)
-    links = first
+    rows = members.count()
+    # leads with many rows are dealt on by list; there are 1 / LEAD_SHARE of them at most
+    hot = members.groupBy("lead").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > max(2048, int(rows * LEAD_SHARE))).collect()
+    deals = {r["lead"]: -(-r["rows"] // max(2048, int(rows * LEAD_SHARE))) for r in hot}
+    deal = F.lit(0)
+    for lead, n in deals.items():
+        deal = F.when(F.col("lead") == lead, F.pmod(F.xxhash64("part", "list"), F.lit(n)).cast("int")).otherwise(deal)
     for name, best in (("nearest", True), ("across", False)):
-        rough = scratch.write(components(links, scratch, f"rough-{name}"), f"rough-{name}")
+        rough = scratch.write(components(found, scratch, f"rough-{name}"), f"rough-{name}")
         named = reps.join(rough.withColumnRenamed("node", "class"), "class", "left").groupBy("sid").agg(F.min(F.coalesce("root", "class")).alias("component"), F.first("brief").alias("brief"))
-        lists = members.join(named, "sid").select("lead", "part", "list", "sid", "n", "pos", "component", "brief")
+        lists = members.join(named, "sid").select("lead", deal.alias("deal"), "part", "list", "sid", "n", "pos", "component", "brief")
         # lists with the same first member side by side: most of a pair's lists meet, and the pair is proposed once
-        lists = lists.repartition("lead").sortWithinPartitions("lead", "part", "list", "n", "sid").drop("lead")
+        lists = lists.repartition("lead", "deal").sortWithinPartitions("lead", "deal", "part", "list", "n", "sid").drop("lead", "deal")
         proposed = scratch.write(_across(lists, num, den, best).distinct(), f"proposed-{name}")
         release(spark)
-        links = links.union(_verify(proposed, reps, docs, words, num, den, scratch, name))
+        found = found.union(_verify(proposed, reps, facts, num, den, scratch, name))
+        scratch.drop(f"rough-{name}")
     scratch.drop("members")
     release(spark)
-    roots = scratch.write(components(links, scratch, "all"), "roots")
-    placed = facts.join(docs.select("rid", "doc_id"), "rid").join(reps.select("sid", "sid2", "class"), ["sid", "sid2"], "left")
-    placed = placed.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("rid")).alias("class"))
-    rooted = placed.join(roots.withColumnRenamed("node", "class"), "class", "left").select("rid", "doc_id", "n_shingles", F.coalesce("root", "class").alias("component"))
+    roots = scratch.write(components(found, scratch, "all"), "roots")
+    for name in ("near", "nearest", "across"):
+        scratch.drop(f"links-{name}")
+    placed = facts.select("rid", "n", "sid", "sid2").join(docs.select("rid", "doc_id"), "rid").join(reps.select("sid", "sid2", "class", "copies"), ["sid", "sid2"], "left")
+    placed = placed.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("rid")).alias("class"), "copies")
+    rooted = placed.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "rid", "doc_id", "n_shingles", F.coalesce("root", "class").alias("component"), "copies")
+    extra = []
+    if links:
+        linked = scratch.write(_links(roots, reps, facts, num, den, scratch), "linked")
+        rooted = rooted.join(linked, "class", "left")
+        extra = [(F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links")]
     least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "component").select("rid", "doc_id", "n_shingles", "component", "component_id")
+    return rooted.join(least, "component").select("rid", "doc_id", "n_shingles", "component", "component_id", *extra)
 
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+    """One row per document: doc_id, n_shingles, component_id, n_links (other documents that it links with)."""
     docs = keyed(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "jaccard-docs"))
-    return classes(docs, words, num, den).select("doc_id", "n_shingles", "component_id")
+    return classes(docs, words, num, den, links=True).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -46,11 +46,29 @@ def test_jaccard_join(docs, none):
     groups = defaultdict(list)
     for i in range(len(ROWS)):
         groups[find(i)].append(ROWS[i][0])
-    want = sorted((str(d), len(s), str(min((x for x in groups[find(i)] if x is not None), default=None))) for i, ((d, _), s) in enumerate(zip(ROWS, sets)))
-    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in jaccard.join(docs).collect()) == want
+    near = lambda a, b: a and b and 100 * len(a & b) >= 85 * len(a | b)
+    want = sorted((str(d), len(s), str(min((x for x in groups[find(i)] if x is not None), default=None)), sum(bool(near(s, t)) for j, t in enumerate(sets) if j != i)) for i, ((d, _), s) in enumerate(zip(ROWS, sets)))
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id), x.n_links) for x in jaccard.join(docs).collect()) == want
     assert jaccard.join(none).count() == 0
 
 
+def test_jaccard_links_of_a_large_group(spark, monkeypatch):
+    """Near copies of near copies, around the threshold, in one block and in several."""
+    r2, base = random.Random(6), prose(60).split()
+    rows = []
+    for i in range(120):
+        words = list(base) if i < 60 else list(rows[r2.randrange(len(rows))])
+        for _ in range(r2.randint(0, 2)):
+            words[r2.randrange(len(words))] = f"x{r2.randrange(40)}"
+        rows.append(words)
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in rows]
+    want = {i: sum(100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], SCHEMA)
+    assert {x.doc_id: x.n_links for x in jaccard.join(docs).collect()} == want
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 16)
+    assert {x.doc_id: x.n_links for x in jaccard.join(docs).collect()} == want
+
+
 def test_suffix_dedup(docs, none):
     data = [(t or "").encode() for _, t in ROWS]
     seen = defaultdict(int)
