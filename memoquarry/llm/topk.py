@@ -7,12 +7,14 @@ the pages.  For a routing object c with radius r, no vector below scores more th
 q.c + |q| r; and before q.c is known, q.p + |q| (d(c, p) + r) from the parent p bounds it, so most
 inner products are never computed.  Entries are skipped by their stored parent distance alike.
 
-Query blocks of at most ``BLOCK`` meet each shard once, so a task holds one shard and one
-block, and only k rows for each query and shard are shuffled to the final ranking.
-
-Defined results: vectors that are null or hold null or non-finite components take no part;
-vectors are compared with those of their own length; ties go to the smaller id; fewer rows
-than k give all; a query leaves out every row that has its own id; null ids take no part.
+A task builds the tree of one shard once and streams the queries of its vectors' length past it in
+batches, so it holds one shard and one batch, and only k + 1 rows for each query and shard are shuffled to the final ranking.
+
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids;
+vectors are compared with those of their own length, empty ones with empty ones; ties go to the smaller id; fewer rows
+than k give all.  Every row of the queries is a query of its own: a repeated query row is answered once for each
+time it is there.  A query leaves out its own row: one row, if there is any, of its id and vector; other rows
+with its id stay.  An empty table gives an empty result; other columns, whatever their names, are ignored.
 Components must stay under 2^20 in size for exact sums.
 """
 
@@ -21,14 +23,13 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memoquarry.llm.common import tune
+from memoquarry.llm.common import Scratch, keyed, tune
 
 SHARD = 16384
-BLOCK = 2048
 PAGE = 256
 SLACK = 1e-6
 
@@ -89,13 +90,13 @@ class MTree:
             order = np.concatenate(order)
             self.ids, self.x = self.ids[order], np.ascontiguousarray(self.x[order])
 
-    def search(self, query: np.ndarray, k: int, own: int, counts: dict | None = None) -> list[tuple[int, int]]:
-        """The k best (score, id), best first; ties to smaller ids."""
+    def search(self, query: np.ndarray, k: int, counts: dict | None = None) -> list[tuple[int, int, int]]:
+        """The k best (score, id, place), best first; ties to smaller ids."""
         if self.root < 0:
             return []
         q = query.astype(np.float64)
         length = float(np.linalg.norm(q))
-        best: list[tuple[int, int]] = []  # a heap of (score, -id): its least is the k-th
+        best: list[tuple[float, int, int]] = []  # a heap of (score, -id, -place): its least is the k-th
         queue = [(-np.inf, self.root, float(q @ self.centre))]
         while queue:
             bound, page, at_parent = heapq.heappop(queue)
@@ -111,13 +112,11 @@ class MTree:
                     counts["seen"] = counts.get("seen", 0) + end - begin
                 scores = self.x[begin:end] @ q  # whole numbers below 2^53: exact
                 near = np.flatnonzero(scores >= floor) if floor > -np.inf else np.arange(end - begin)
-                for score, i in zip(scores[near].tolist(), self.ids[begin:end][near].tolist()):
-                    if i == own:
-                        continue
+                for score, i, at in zip(scores[near].tolist(), self.ids[begin:end][near].tolist(), (near + begin).tolist()):
                     if len(best) < k:
-                        heapq.heappush(best, (score, -i))
-                    elif (score, -i) > best[0]:
-                        heapq.heapreplace(best, (score, -i))
+                        heapq.heappush(best, (score, -i, -at))
+                    elif (score, -i, -at) > best[0]:
+                        heapq.heapreplace(best, (score, -i, -at))
             else:
                 live = at_parent + length * (to_parent + radii) >= floor - SLACK
                 dots = objects[live] @ q
@@ -125,7 +124,7 @@ class MTree:
                 for top, child, dot in zip(tops.tolist(), below[live].tolist(), dots.tolist()):
                     if top >= floor - SLACK:
                         heapq.heappush(queue, (-top, child, dot))
-        return [(int(s), -i) for s, i in sorted(best, key=lambda b: (-b[0], -b[1]))]
+        return [(int(s), -i, -at) for s, i, at in sorted(best, key=lambda b: (-b[0], -b[1], -b[2]))]
 
 
 def integers(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -135,28 +134,50 @@ def integers(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.filter(ok & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(vector_col).alias("dim"))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for every row of ``queries`` against all of ``rows``."""
-    tune(rows.sparkSession)
-    data, asked = integers(rows, id_col, vector_col), integers(queries, id_col, vector_col)
-    n, m = data.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
-    spread = lambda c, parts, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(parts)).cast("int")
-    stored = data.withColumn("shard", spread("vec_id", shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = asked.withColumn("block", spread("vec_id", blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            tree = MTree(left.vec_id.to_numpy(), np.array(left.v.tolist(), np.int64).reshape(len(left), -1))
-            for q, v in zip(right.vec_id.tolist(), right.v.tolist()):
-                out += [(q, i, s) for s, i in tree.search(np.array(v, np.int64), k, q)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    keys = ["dim", "shard", "block"]
-    found = stored.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = rows.sparkSession
+    tune(spark)
+    scratch = Scratch(spark, "topk")
+    data = keyed(integers(rows, id_col, vector_col), scratch, "rows")
+    asked = keyed(integers(queries, id_col, vector_col), scratch, "queries")
+    shards = max(1, -(-data.count() // shard))
+    columns = ["dim", "shard", "query", "rid", "vec_id", "v"]
+    stored = data.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")).withColumn("query", F.lit(0))
+    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("query", F.lit(1))
+    met = stored.select(columns).unionByName(sent.select(columns)).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "query")
+
+    def search(batches):
+        at, tree, held = None, None, []  # the shard, and its vectors until the first query comes
+        for b in batches:
+            dims, shard_of, query = (b.column(i).to_numpy() for i in range(3))
+            ids, values = b.column(4).to_numpy(), b.column(5)
+            flat, ends = values.flatten().to_numpy(), np.cumsum(dims)
+            out: list[tuple] = []
+            edges = [0, *(np.flatnonzero((dims[1:] != dims[:-1]) | (shard_of[1:] != shard_of[:-1]) | (query[1:] != query[:-1])) + 1).tolist(), len(dims)]
+            for s, e in zip(edges, edges[1:]):
+                if s == e:
+                    continue
+                if (dims[s], shard_of[s]) != at:
+                    at, tree, held = (dims[s], shard_of[s]), None, []
+                x = flat[ends[s] - dims[s] : ends[e - 1]].reshape(e - s, int(dims[s]))
+                if not query[s]:
+                    held.append((ids[s:e].copy(), x.copy()))
+                    continue
+                if tree is None:
+                    tree = MTree(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])) if held else MTree(np.zeros(0, np.int64), x[:0])
+                    held = []
+                for rid, q, v in zip(b.column(3).to_pylist()[s:e], ids[s:e].tolist(), x):
+                    out += [(rid, q, i, score, i == q and bool((tree.x[place] == v).all())) for score, i, place in tree.search(v, k + 1)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["rid", "query_id", "vec_id", "score", "own"])
+
+    found = met.mapInArrow(search, "rid long, query_id long, vec_id long, score long, own boolean")
+    order = [F.desc("score"), F.col("vec_id"), F.desc("own")]
+    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("rid").orderBy(*order))).filter(F.col("place") <= k + 1)
+    others = ranked.withColumn("nth", F.count(F.when(F.col("own"), 1)).over(Window.partitionBy("rid").orderBy("place"))).filter(~(F.col("own") & (F.col("nth") == 1)))
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy("place"))
+    return others.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
