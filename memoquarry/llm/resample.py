@@ -2,17 +2,18 @@
 
 Counts of words, word pairs, and their shapes (case, digits, punctuation, repetition), hashed to ``BUCKETS`` buckets, give two generative models: of raw text,
 counted over every document, and of target text, counted over a bounded sample of documents
-labelled as good (``TARGET`` rows at most, the first by a hash of their id).  A document's log
-weight is the mean log ratio of the two over its n-grams, times ``SHARPNESS``.  Adding Gumbel
-noise and keeping the largest keys draws documents without replacement in proportion to
-their weights.  The noise is a hash of the row, so a task that runs again draws the same.
+labelled as good (``TARGET`` rows at most, the first by a hash of their id, none of the held-out fifth).  A document's log
+weight is the log of the ratio of the two models' probabilities of it: the sum of the log ratios of its n-grams.
+Adding Gumbel noise and keeping the largest keys draws documents without replacement in proportion to
+that ratio.  The noise is a hash of the row, so a task that runs again draws the same.
 
 The raw counts are summed per task before they are shuffled.  The k-th key is found by
 counting key ranges, narrower each time, so no task sorts all keys.
 
-Defined results: texts without words have log weight 0 (the models say nothing of them); null ids
-are drawn like others; repeated rows have equal keys, and ties at the k-th key are all kept;
-without target rows all weights are 0; an empty table gives an empty result.
+Defined results: null, empty and wordless texts have log weight 0 (the models say nothing of them); null ids
+are drawn like others; texts are read whole, however long; repeated rows have equal keys, and ties at the k-th key are all kept;
+without target rows all weights are 0; labels of absent documents and null labels teach nothing; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from memoquarry.llm.common import Hashes, Scratch, binaries, mix, tune
 
 BUCKETS = 1 << 16
 TARGET = 4000
-SHARPNESS = 20.0
 SMOOTHING = 1.0
 SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 RUNS = re.compile(rb"(.)\1+", re.S)
@@ -76,9 +76,14 @@ def counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def fold() -> F.Column:
+    """Of five parts of all ids; part 0 is held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: int = TARGET) -> np.ndarray:
     """Log ratio of target to raw probability by bucket."""
-    good = labels.filter(F.col("quality") == 1).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target)
+    good = labels.filter((F.col("quality") == 1) & (fold() != 0)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target)
     wanted = counts(docs.join(F.broadcast(good), "doc_id", "left_semi"))  # at most ``target`` ids
     raw = counts(docs)
     if not wanted.sum():
@@ -96,7 +101,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         hashes, table = (Hashes(), Shapes()), shared.value
         for b in batches:
             got = [buckets_of(t, hashes) for t in binaries(b.column(1))]
-            weight = np.array([SHARPNESS * table[x].mean() if len(x) else 0.0 for x in got])
+            weight = np.array([float(table[x].sum()) for x in got])
             u = (mix(b.column(2).to_numpy().view(np.uint64)) >> np.uint64(11)).astype(np.float64) / 2**53
             noise = -np.log(-np.log(np.clip(u, 1e-16, 1 - 1e-16)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weight, pa.float64()), pa.array(weight + noise, pa.float64())], names=["doc_id", "log_weight", "key"])

@@ -202,11 +202,22 @@ def test_topk_search(spark):
     for q in range(0, 400, 50):
         best = sorted((-int(v[q] @ v[i]), i) for i in range(400) if i != q)[:5]
         want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    got = topk.top_k(df, df.filter("vec_id % 50 = 0 or vec_id = 903"), shard=150, block=3)
+    got = topk.top_k(df, df.filter("vec_id % 50 = 0 or vec_id = 903"), shard=150)
     assert sorted(map(tuple, got.collect())) == want
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_search_of_repeated_rows(spark):
+    """Each query row leaves out one row of its id and vector; columns with clashing names do no harm."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 0.5]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame([(*x, 9, 8, 7, "s") for x in rows], "vec_id long, embedding array<double>, rid int, dim int, rank int, score string")
+    want = []
+    for n, (q, v) in enumerate(rows):
+        others = [(-int(sum(256 * a * 256 * b for a, b in zip(v, w))), i) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v)]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(sorted(others)[:3], 1)]
+    assert sorted(map(tuple, topk.top_k(df, df, k=3, shard=2).collect())) == sorted(want)
+
+
 def test_toxicity(spark, docs):
     r2 = random.Random(3)
     sample = [(i, " ".join(r2.choice(WORDS) for _ in range(60)) + (" vileword foulterm" * 3 if i % 4 == 0 else "")) for i in range(400)]
@@ -259,8 +270,16 @@ def test_toxicity_of_a_copied_row_and_unspaced_script(spark):
 
 
 def test_resampling(spark, docs):
-    labels = spark.createDataFrame([(5, 1), (8, 1), (12, 0)], "doc_id long, quality int")
+    """Weights by brute force: counts by bucket, smoothed, and the sum of log ratios; keys above the k-th are kept."""
+    labels = spark.createDataFrame([(i, int(i in (5, 8, 9, 12, 14))) for i in range(15)] + [(77, 1), (None, 1)], "doc_id long, quality int")
     got = resample.select(docs, labels, keep=0.5).collect()
+    hashes = (resample.Hashes(), resample.Shapes())
+    bags = [np.bincount(resample.buckets_of((t or "").encode(), hashes), minlength=resample.BUCKETS) for _, t in ROWS]
+    good = {i for i in (5, 8, 9, 12, 14) if zlib.crc32(str(i).encode()) % 5}
+    raw, wanted = sum(bags).astype(float), sum(b for (d, _), b in zip(ROWS, bags) if d in good).astype(float)
+    smooth = lambda c: (c + raw / raw.sum() * resample.BUCKETS + 1e-9) / (c.sum() + resample.BUCKETS)
+    ratio = np.log(smooth(wanted)) - np.log(smooth(raw))
+    assert sorted(x.log_weight for x in got) == pytest.approx(sorted(float(b @ ratio) for b in bags), abs=1e-6)
     assert len(got) == len(ROWS) and sum(x.kept for x in got) >= round(0.5 * len(ROWS))
     keys = sorted((x.key for x in got), reverse=True)
     assert {x.key for x in got if x.kept} == {k for k in keys if k >= keys[round(0.5 * len(ROWS)) - 1]}
