@@ -7,11 +7,13 @@ sequences, so that neighbours on the curve share a sequence.  A partition's last
 sequences whose lengths are powers of two, so no sequence needs padding.
 
 The key's low bits are a hash of the row, so copies (which share their Hilbert index) are
-spread over as many partitions as they need.  Tokenized rows are written to the scratch
-folder once; ids travel in the fewest bytes that the vocabulary needs.
+spread over as many partitions as they need.  Documents travel in runs of at most ``RUN`` ids, so that ranges of
+equally many rows hold nearly equally many ids wherever long documents lie on the curve.  Tokenized rows are
+written to the scratch folder once; ids travel in the fewest bytes that the vocabulary needs.
 
-Defined results: a null or empty text is its end id alone; rows with equal ids and texts are
-packed one by one; an empty table gives no sequence; null ids are packed and returned as null.
+Defined results: a null or empty text is its end id alone; texts are read whole, however long; rows with equal ids and texts are
+packed one by one; ties on the curve are broken by row; an empty table gives no sequence; null ids are packed and returned
+as null; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoquarry.llm.common import Scratch, mix, tune
+from memoquarry.llm.common import Scratch, keyed, mix, tune
 from memoquarry.llm.tokens import byte_symbols
 
 LENGTH = 1024
 END = 0
 DIMS, BITS, SALT_BITS = 4, 10, 22
 BUCKETS = 1024
+#: Ids of a document that travel in one row.
+RUN = 1024
 #: Bytes of ids that one task sorts.
 PARTITION_BYTES = 24 << 20
 
@@ -100,20 +104,22 @@ def curve_keys(ids: list[np.ndarray], salts: np.ndarray) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, salt, n, curve, ids): ids as packed little-endian integers."""
+    """(rid, doc_id, salt, curve, doc_tokens, start, n, ids) for each run of a document's ids, packed little-endian.  ``docs``: rid, doc_id, text."""
     tune(docs.sparkSession)
 
     def run(batches):
         encode = Ids(path)
         kind = np.uint16 if encode.size <= 1 << 16 else np.uint32
         for b in batches:
-            ids = [encode(t) for t in b.column(1).to_pylist()]
-            salts = b.column(2).to_numpy()
-            key = curve_keys(ids, salts) if ids else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array(key, pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["doc_id", "salt", "n", "curve", "ids"])
+            ids = [encode(t) for t in b.column(2).to_pylist()]
+            key = curve_keys(ids, b.column(3).to_numpy()) if ids else np.zeros(0, np.int64)
+            runs = [(i, s) for i, x in enumerate(ids) for s in range(0, len(x), RUN)]
+            at = pa.array([i for i, _ in runs], pa.int64())
+            pieces = [ids[i][s : s + RUN] for i, s in runs]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(3).take(at), pa.array(key, pa.int64()).take(at), pa.array([len(ids[i]) for i, _ in runs], pa.int64()), pa.array([s for _, s in runs], pa.int64()), pa.array([len(x) for x in pieces], pa.int64()), pa.array([x.astype(kind).tobytes() for x in pieces], pa.binary())], names=["rid", "doc_id", "salt", "curve", "doc_tokens", "start", "n", "ids"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("salt"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, salt long, n long, curve long, ids binary")
+    rows = docs.select("rid", "doc_id", "text", F.xxhash64("doc_id", "text").alias("salt"))
+    return rows.mapInArrow(run, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, salt long, curve long, doc_tokens long, start long, n long, ids binary")
 
 
 def cuts(total: int, length: int) -> list[int]:
@@ -127,10 +133,11 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, keep_ids: bool = True
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    rows = scratch.write(tokenize(docs, path), "ids")
+    rows = scratch.write(tokenize(keyed(docs.select("doc_id", "text"), scratch, "docs"), path), "ids")
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(1, int(total * 2 // PARTITION_BYTES))
-    placed = rows.repartitionByRange(parts, "curve").sortWithinPartitions("curve", "salt", "doc_id", "n")
+    order = ["curve", "salt", "rid", "start"]
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     wide = path_width(path)
 
@@ -153,12 +160,15 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, keep_ids: bool = True
         for b in batches:
             id_type = b.column(0).type
             out = []
-            for doc, n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for doc, n, start, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
                 ids = np.frombuffer(blob, wide).astype("<u4")
                 at = 0
-                while at < n:
-                    take = min(room - filled, n - at)
-                    held.append((doc, at, ids[at : at + take], n, filled))
+                while at < len(ids):
+                    take = min(room - filled, len(ids) - at)
+                    if held and start + at and held[-1][0] == doc and held[-1][1] + len(held[-1][2]) == start + at and held[-1][3] == n:
+                        held[-1] = (doc, held[-1][1], np.concatenate((held[-1][2], ids[at : at + take])), n, held[-1][4])
+                    else:
+                        held.append((doc, start + at, ids[at : at + take], n, filled))
                     at, filled = at + take, filled + take
                     if filled == room:
                         out += rows_of(held, made)
@@ -177,7 +187,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, keep_ids: bool = True
             yield emit(out)
 
     schema = f"doc_id {id_kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed.select("doc_id", "n", "ids").mapInArrow(run, schema + (", ids binary" if keep_ids else ""))
+    return placed.select("doc_id", "doc_tokens", "start", "ids").mapInArrow(run, schema + (", ids binary" if keep_ids else ""))
 
 
 def path_width(path: str) -> str:
