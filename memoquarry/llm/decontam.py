@@ -9,12 +9,13 @@ counts, and every ``STEP``-th suffix position.  All windows are searched backwar
 their occurrences are located from the sampled positions, and overlapping ones are merged.
 
 The benchmark is sent to executors in blocks of at most ``BLOCK_BYTES`` of text; with several
-blocks the documents pass through one narrow step for each, so memory stays bounded however
-large the benchmark is, and nothing is shuffled.
+blocks the documents pass through one narrow step for each, and the driver holds one block at a time, so memory stays
+bounded however large the benchmark is, and nothing is shuffled.  A worker makes a block's windows once.
 
-Defined results: null or empty texts have no words; items without words have no window;
+Defined results: null or empty texts have no words; texts are read whole, however long; items without words have no window;
 rows of the benchmark without an item_id still hit words but are not listed; repeated item_ids
-count once; an empty benchmark contaminates nothing; repeated documents are judged row by row.
+count once; an empty benchmark contaminates nothing, and an empty table of documents gives an empty result; repeated documents
+are judged row by row; other columns, whatever their names, are kept by ``find_hits`` (but for n_words, spans and items) and ignored by ``contamination``.
 """
 
 from __future__ import annotations
@@ -213,17 +214,28 @@ def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most: int = BLOCK_BYTES) -> list[list]:
-    """The items in blocks of bounded size, streamed to the driver one partition at a time."""
-    blocks, size = [[]], 0
+def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most: int = BLOCK_BYTES):
+    """The items in blocks of bounded size, one after another as they are streamed to the driver (one at least)."""
+    block, size = [], 0
     for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator():
         n = len(row[1] or b"") + 16
-        if size + n > most and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], None if row[1] is None else bytes(row[1])))
+        if size + n > most and block:
+            yield block
+            block, size = [], 0
+        block.append((row[0], None if row[1] is None else bytes(row[1])))
         size += n
-    return blocks
+    yield block
+
+
+_made: dict = {}
+
+
+def windows_of(shared, window: int) -> Windows:
+    """The windows of a broadcast block, made once in a worker (which keeps those of one block)."""
+    block = shared.value  # a worker keeps a broadcast's value, so the same list is the same block
+    if _made.get("of") is not block or _made["window"] != window:
+        _made.update(of=block, window=window, made=Windows(block, window))
+    return _made["made"]
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
@@ -235,7 +247,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            windows = Windows(shared.value, window)
+            windows = windows_of(shared, window)
 
             def flush(held):
                 texts = [t for b in held for t in binaries(b.column(b.schema.get_field_index(text_col)))]
