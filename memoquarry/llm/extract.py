@@ -7,15 +7,18 @@ concatenated and their suffixes sorted by ``RUN`` words through prefix doubling;
 runs, or whole blocks of fewer words, that repeat.  Outside an article those on ``LOOSE_PAGES`` distinct pages
 (on both, if the host has two) are boilerplate; inside one, only what at least ``ARTICLE_PAGES`` and more than
 ``ARTICLE_SHARE`` of the host's distinct articles have (a copied article or a quoted passage is content).
-All else outside chrome stays, beside an article too.
+All else outside chrome stays, beside an article too.  Where that would leave a page without article under ``LEFT`` of
+its loose words, its main text itself repeats (copied or syndicated): its longest block and those at least half as long stay.
+Inside an article, a header is the article's own (its title) and stays.
 
 Blocks are sent to their host, sorted by article, and cut into shards of at most ``SHARD_PAGES`` pages and
 ``SHARD_BYTES`` bytes; hosts with over 1/200 of all pages are dealt over several partitions first.  Equal
 articles and pages meet, so that the counts of a host's shards add up.  A host in one shard is judged there;
 the runs of other hosts are summed over their shards by hash, and what is boilerplate is sent to all tasks.
 
-Defined results: a null or empty page has the text ""; pages with a null url share one host; repeated
-rows are extracted one by one and count as one page; an empty table gives an empty result.
+Defined results: a null or empty page has the text ""; pages with a null url share one host; null page_ids are kept; repeated
+rows are extracted one by one and count as one page; pages are read whole, however long; runs on equally many
+pages are judged alike; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from memoquarry.llm.common import Hashes, Scratch, mix, ragged, release, tune
 RUN = 8
 LOOSE_PAGES = 3
 ARTICLE_SHARE, ARTICLE_PAGES = 0.5, 3
+LEFT = 0.25
 SHARD_PAGES, SHARD_BYTES = 400, 12 << 20
 CHROME, LOOSE, ARTICLE = 0, 1, 2
 #: Rows of the first pass: finished pages, pages of hosts in several shards, and those hosts' counts.
@@ -50,16 +54,15 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CHROME_TAGS = frozenset("head nav header footer aside form button select menu dialog fieldset".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-CHROME_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|notice|nav|navbar|navigation|menu|sidebar|footer|header|masthead|comments?|respond|share|sharing|social|related|newsletter|subscribe|breadcrumbs?|popup|modal|login|signup|disqus|pagination|pager|widget)(?:$|[\s_-])",
-    re.I,
-)
+CHROME_WORDS = "ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|notice|nav|navbar|navigation|menu|sidebar|footer|masthead|comments?|respond|share|sharing|social|related|newsletter|subscribe|breadcrumbs?|popup|modal|login|signup|disqus|pagination|pager|widget"
+CHROME_NAMES, CHROME_NAMES_INSIDE = (re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I) for words in (f"header|{CHROME_WORDS}", CHROME_WORDS))
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 CLOSED_BY_BLOCK = frozenset(["p"])
 
 
-def is_chrome(tag: str, attributes: str) -> bool:
-    if tag in CHROME_TAGS:
+def is_chrome(tag: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element holds no main text; ``inside``: it stands in an article."""
+    if tag in CHROME_TAGS and not (inside and tag == "header"):
         return True
     if "=" not in attributes and "hidden" not in attributes.lower():
         return False
@@ -71,7 +74,7 @@ def is_chrome(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and CHROME_NAMES.search(value):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and (CHROME_NAMES_INSIDE if inside else CHROME_NAMES).search(value):
             return True
     return False
 
@@ -124,7 +127,7 @@ def blocks_of(page: str | None) -> list[tuple[int, list[str]]]:
                 close(len(stack) - 1)
         if tag in VOID or attributes.endswith("/"):
             continue
-        c, a = is_chrome(tag, attributes), tag in ("article", "main")
+        c, a = is_chrome(tag, attributes, article > 0), tag in ("article", "main")
         if c or a or tag not in INLINE:
             if c and tag in INLINE:
                 flush()
@@ -220,12 +223,16 @@ class Shard:
         covered = np.cumsum(edge) > 0
         out, k = [], 0
         for blocks in self.parsed:
-            kept = []
-            for z, words in blocks:
+            kept, first = [], k
+            loose = [(int(covered[self.starts[k + i] : self.starts[k + i] + len(words)].sum()), len(words)) for i, (z, words) in enumerate(blocks) if z == LOOSE]
+            least = len(self.text)  # the length from which a loose block stays, repeated or not
+            if loose and not any(z == ARTICLE for z, _ in blocks) and sum(n - c for c, n in loose) < LEFT * sum(n for _, n in loose):
+                least = -(-max(n for _, n in loose) // 2)
+            for k, (z, words) in enumerate(blocks, first):
                 if z != CHROME:
                     mask = covered[self.starts[k] : self.starts[k] + len(words)]
-                    kept += [w for w, c in zip(words, mask.tolist()) if not c] if mask.any() else words
-                k += 1
+                    kept += words if (z == LOOSE and len(words) >= least) or not mask.any() else [w for w, c in zip(words, mask.tolist()) if not c]
+            k = first + len(blocks)
             out.append(" ".join(kept))
         return out
 
