@@ -139,16 +139,20 @@ def test_decontamination(spark, docs, none):
 
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 200
-    pages = [(3, "http://a\r\nX: y", big), (1, None, big), (1, "u", big), (2, "u", None), (4, "u", "small"), (5, "v", "small"), (None, "w", big)]
+    pages = [(3, "http://a%20\r\nX: y%0D", big), (6, "http://b%0Dx", "z"), (1, None, big), (1, "u", big), (2, "u", None), (4, "u", "small"), (5, "v", "small"), (None, "w", big)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     scratch = Scratch(spark, "test")
     headers, payloads = warc.write_archive(df, scratch)
-    assert payloads.count() == 3
+    assert payloads.count() == 4
     back = warc.read_archive(headers, payloads).collect()
-    assert sorted(str((x.page_id, x.record_type, x.refers_to)) for x in back) == sorted(map(str, [(3, "revisit", 1), (1, "response", None), (1, "revisit", 1), (2, "response", None), (4, "response", None), (5, "response", None), (None, "revisit", 1)]))
+    assert sorted(str((x.page_id, x.record_type, x.refers_to)) for x in back) == sorted(map(str, [(3, "revisit", 1), (1, "response", None), (1, "revisit", 1), (2, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (None, "revisit", 1)]))
     bodies = sorted(bytes(x.record).split(b"\r\n\r\n", 1)[1] for x in warc.reconstruct(headers, payloads).collect())
     assert bodies == sorted((h or "").encode() + b"\r\n\r\n" for _, _, h in pages)
+    assert sorted(str(x.url) for x in warc.parse_headers(headers).collect()) == sorted(str(u) for _, u, _ in pages)
+    assert all(b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in bytes(x.record) for x in warc.reconstruct(headers, payloads).collect())
     assert warc.archive_pages(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "u", "y" * 300_000, "clash", 1), (2, "u", "y" * 300_000, "clash", 2)], "page_id long, url string, html string, digest string, rid int")
+    assert sorted((x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in warc.archive_pages(long).collect()) == [(1, 300_000, "response", None), (2, 300_000, "revisit", 1)]
 
 
 def test_extraction(spark):
@@ -178,6 +182,41 @@ def test_extraction_keeps_loose_text_beside_an_article(spark):
     assert all(t.startswith("main text ") and t.endswith(f"{i} teaser {i} after {i}") for i, t in got.items())
 
 
+def test_extraction_keeps_copied_main_text_and_titles(spark):
+    main = prose(24)
+    got = extracted(spark, [(i, f"http://h/{i}", f"<div>{main}</div><div>id {i}</div>") for i in range(3)])
+    assert all(t == f"{main} id {i}" for i, t in got.items())
+    got = extracted(spark, [(1, "http://a/1", "<header>site</header><article><header class='entry-header'><h1>Title</h1></header><p>body</p><div class='related'>more</div></article>")])
+    assert got[1] == "Title body"
+
+
+def test_extraction_of_repeated_and_long_rows_and_clashing_columns(spark):
+    text = prose(20_000)
+    rows = [(1, "u", f"<p>{text}</p>", "x", 1), (1, "u", f"<p>{text}</p>", "x", 1), (None, None, "<p>a</p>", None, 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, n_chars int")
+    got = sorted((str(x.page_id), x.text, x.n_chars) for x in extract.extract(df).collect())
+    assert got == sorted([("1", " ".join(text.split()), len(" ".join(text.split())))] * 2 + [("None", "a", 1)])
+
+
+def test_host_counts_against_brute_force():
+    """Groups of equal runs and short blocks, and on how many distinct pages each is."""
+    r5, run = random.Random(8), extract.RUN
+    pages = [[(r5.choice([extract.LOOSE, extract.ARTICLE, extract.CHROME]), [r5.choice("ab") for _ in range(r5.choice([1, 3, 8, 12]))]) for _ in range(6)] for _ in range(12)]
+    shard = extract.Shard([(p, True, True) for p in pages], extract.Hashes())
+    seen = defaultdict(set)
+    for i, page in enumerate(pages):
+        for zone, words in page:
+            for j in range(max(1, len(words) - run + 1)):
+                seen[zone == extract.ARTICLE, tuple(words[j : j + run])].add(i)
+    got = {}
+    for g, at in enumerate(shard.at[shard.first].tolist()):
+        block = int(np.flatnonzero(shard.starts <= at)[-1])
+        offset = at - int(shard.starts[block])
+        words = [w for p in pages for w in p][block]
+        got[bool(shard.kind[g]), tuple(words[1][offset : offset + run])] = int(shard.counts[g])
+    assert got == {k: len(v) for k, v in seen.items()}
+
+
 def test_extraction_counts_over_the_whole_host(spark, monkeypatch):
     """Boilerplate on three of many pages, or in most of few articles, and the same texts however the host is cut."""
     foot, note = prose(12), prose(10)
