@@ -1,7 +1,8 @@
 """The operators as pipeline stages: documents in, documents out (the last gives packed pieces).
 
 A stage keeps all columns of its input, whatever their names; where it shortens a text, a column
-``n_chars`` is set to the new length.
+``n_chars`` is set to the new length.  Every stage reads texts whole, however long, and gives an empty table for one.
+Null and empty texts pass every stage and are packed as their end id alone; rows with a null doc_id are treated like others.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ def _with_text(docs: DataFrame, row: str, text: F.Column) -> list[F.Column]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score 0.5 or more go; null and wordless texts, and all rows where labels of both kinds are missing, score the share of toxic labels.  Repeated rows are judged one by one, alike."""
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(_rows(docs).select("row", "text"), scorer).filter("score < 0.5").select("row.*")
 
@@ -65,7 +67,11 @@ def _cut_column(rows: DataFrame, cut, schema: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every repeated passage of ``PASSAGE_WORDS`` words and every repeated string of 400 bytes (long words) goes from every text; a character that a cut splits goes too."""
+    """Every repeated passage of ``PASSAGE_WORDS`` words and every repeated string of 400 bytes (long words) goes from every text; a character that a cut splits goes too.
+
+    Repeats are judged on the input, within a text and between texts, so rows that are still whole copies lose all that repeats; rows
+    stay, if need be with an empty text.
+    """
     rows = keyed(_rows(docs), Scratch(spark, "repeats"))
     schema = f"row {docs_type(docs)}, text string, changed boolean"
     done = _cut_column(suffixes.with_passages(rows, PASSAGE_WORDS), suffixes.cut_passages, schema)
@@ -73,13 +79,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words of benchmark windows go, with what stands between them."""
+    """The words of benchmark windows go, with what stands between them; rows stay.  An empty benchmark cuts nothing, repeated rows are cut alike."""
     hits = decontam.find_hits(_rows(docs).select("row", "text"), table(spark, sf_dir, "benchmark"))
     schema = f"row {docs_type(docs)}, text string, changed boolean"
     return _cut_column(hits, decontam.remove_hits, schema).select(*_with_text(docs, "row", F.col("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """One row per piece of a sequence with its token ids; every row of the input is packed once, repeated ones one by one."""
     from memoquarry.llm.registry import tokenizer_path
 
     return packing.pack(docs.select("doc_id", "text"), tokenizer or tokenizer_path())

@@ -347,6 +347,7 @@ def find_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, window:
         return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in (rid, start, end)], names=["rid", "start", "end"])
 
     spans = scratch.write(sent.groupBy("part").applyInArrow(merge, "rid long, start long, end long"), "spans")
+    scratch.drop("anchors")
     release(spark)
     return spans
 

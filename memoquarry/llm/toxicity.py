@@ -2,7 +2,7 @@
 
 The examples are a bounded sample of labelled documents (``TOXIC`` and ``CLEAN`` rows at most, the first
 by a hash of their id).  A text's terms are its whole words and the ``GRAMS``-character n-grams of its
-words, their ends marked by a space, over the entire text (unspaced scripts are read by their n-grams).
+words, their ends marked by a space, over the entire text (unspaced scripts are read by their n-grams, pairs too).
 Of these the vocabulary keeps the terms whose rate among toxic and among other examples differs by
 ``LIFT`` times and significantly (``SURE``, a log-likelihood ratio), ``TERMS`` at most, the most
 telling first.  Texts are matched against all of them in one pass (Aho-Corasick).
@@ -12,7 +12,7 @@ examples, with each term's largest weight in each block.  A text's bound for a b
 those maxima; the blocks with the best bounds are scored exactly, then all whose bound reaches the
 k-th cosine so far, so the k nearest examples are exact.  Their votes, weighted by squared cosine,
 become a score through a logistic curve fitted on leave-one-out votes of the examples, with each class
-weighted back to its share among all labelled rows.  An example with the very same text does not vote,
+weighted back to its share among all labelled rows; the curve is the steeper the nearer the neighbours are.  An example with the very same text does not vote,
 so that no labelled row is judged by its own label.
 
 Terms are counted on the executors; the driver holds the chosen terms and the examples' few terms of
@@ -187,17 +187,18 @@ class Scorer:
         for i in range(0, len(some), 256):
             part = some[i : i + 256]
             votes += [self.vote(*x) for x in self.index.nearest([bags[j] for j in part], k, [np.array(self.same[digests[j]]) for j in part])]
-        found = ~np.isnan(votes)
-        self.curve = logistic(self._logit(np.array(votes)[found]), labels[some][found].astype(float), np.where(labels[some][found] == 1, weights[1], weights[0]))
-
-    def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
+        found = np.array([v is not None for v in votes])
+        inputs = np.array([v for v in votes if v is not None]).reshape(-1, 2)
+        self.curve = logistic(inputs, labels[some][found].astype(float), np.where(labels[some][found] == 1, weights[1], weights[0]))
+
+    def vote(self, best: np.ndarray, cosine: np.ndarray) -> tuple[float, float] | None:
+        """The log odds of the weighted votes, and these times the mean cosine; nothing without neighbours."""
+        if not len(best):
+            return None
         w = cosine**2
-        return float((w * self.index.labels[best]).sum() / w.sum()) if len(best) else np.nan
-
-    @staticmethod
-    def _logit(v: np.ndarray) -> np.ndarray:
-        v = np.clip(v, 0.01, 0.99)
-        return np.log(v / (1 - v))
+        v = np.clip((w * self.index.labels[best]).sum() / w.sum(), 0.01, 0.99)
+        odds = float(np.log(v / (1 - v)))
+        return odds, odds * float(cosine.mean())
 
     def __call__(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """(score, ids of the nearest examples, their cosines) of each text."""
@@ -209,25 +210,24 @@ class Scorer:
             part = texts[i : i + 256]
             without = [np.array(self.same.get(digest(t), none), np.int64) for t in part]
             for best, cosine in self.index.nearest([self.terms(t) for t in part], self.k, without):
-                z = self.curve[0] * self._logit(np.array([self.vote(best, cosine)]))[0] + self.curve[1] if len(best) else 0.0
-                out.append((float(1 / (1 + np.exp(-z))) if len(best) else self.share, self.index.ids[best], cosine))
+                inputs = self.vote(best, cosine)
+                out.append((self.share if inputs is None else float(1 / (1 + np.exp(-np.dot(self.curve, [*inputs, 1.0])))), self.index.ids[best], cosine))
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression on one input, by damped Newton steps."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(a * x + b)))
-        g = np.array([(w * (p - y) * x).sum() + 1e-3 * a, (w * (p - y)).sum()])
-        q = w * p * (1 - p)
-        h = np.array([[(q * x * x).sum() + 1e-3, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-9]])
-        step = np.linalg.solve(h, g)
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weighted logistic regression by damped Newton steps: a coefficient for each input, and the constant."""
+    x = np.column_stack((x, np.ones(len(x))))
+    a = np.zeros(x.shape[1])
+    pull = np.r_[np.full(x.shape[1] - 1, ridge), 1e-9]
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -500, 500)))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (w * (p - y)) + pull * a)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
-        a, b = a - step[0], b - step[1]
+        a -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return a
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
@@ -259,6 +259,7 @@ def choose_terms(words: DataFrame, most: int = TERMS) -> list[str]:
     s = F.concat(F.lit(" "), "word", F.lit(" "))
     cut = lambda n: F.when(F.length("s") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - (n - 1), F.lit(1))), lambda i: F.substring("s", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     grams = words.select(s.alias("s"), "toxic", "clean").select(F.explode(F.array_distinct(F.concat(F.array("s"), *(cut(n) for n in GRAMS)))).alias("term"), "toxic", "clean")
+    grams = grams.filter((F.length("term") > min(GRAMS)) | F.regexp_like("term", F.lit(r"[\x{2E80}-\x{10FFFF}]")))  # pairs: of unspaced scripts only
     counts = grams.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     a, b, n = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     part = lambda x, total: F.when(x > 0, x * F.log(x * (toxic + clean) / (n * total))).otherwise(0.0)
