@@ -474,7 +474,7 @@ def classes(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int
     facts = scratch.write(_facts(docs, words), "facts")
     total = facts.count()
     common = common_shingles(facts, total)
-    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8000)
+    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1000)
     # a class for each set: its smallest row; empty sets stand alone
     reps = scratch.write(facts.filter("n > 0").groupBy("sid", "sid2").agg(F.min("rid").alias("class"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "parity", "brief"))), "classes")
     members = scratch.write(_memberships(_entries(facts, common, ranges, num, den), num, den), "members")
