@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +12,38 @@ def _edge(kind: str):
     return lambda x: F.struct(x["a"].alias("src"), F.lit(kind).alias("type"), x["b"].alias("dst"))
 
 
-def extract_relations(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, src, type, dst) of every match; names of two characters or more."""
-    found = []
-    for kind, pattern, swap in L.RELATIONS:
-        p = F.lit("(?iu)" + pattern)
-        a, b = F.regexp_extract_all(text, p, F.lit(1)), F.regexp_extract_all(text, p, F.lit(2))
-        if swap:
-            a, b = b, a
-        found.append(F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), _edge(kind)))
-    each = rows.select(key, F.explode(reduce(lambda x, y: F.concat(x, y), found)).alias("e")).select(key, "e.*")
-    return each.filter((F.char_length("src") >= 2) & (F.char_length("dst") >= 2))
+def _pairs(text: Column, kind: str, pattern: str, swap: bool = False) -> Column:
+    p = F.lit("(?iu)" + pattern)
+    a, b = F.regexp_extract_all(text, p, F.lit(1)), F.regexp_extract_all(text, p, F.lit(2))
+    if swap:
+        a, b = b, a
+    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), _edge(kind))
+
+
+def extract_relations(rows: DataFrame, key: str, text: str, known: DataFrame | None = None) -> DataFrame:
+    """(key, src, type, dst) of every match; names of two characters or more, one of them ``known`` (name) if that is given.
+
+    A pattern runs only on texts that hold its verb.
+    """
+    low, none = F.col("_low"), F.array().cast("array<struct<src:string,type:string,dst:string>>")
+    rows = rows.select(key, text, F.lower(text).alias("_low")).filter(F.regexp_like("_low", F.lit("|".join(L.RELATION_CUES))))
+    found = [F.when(F.regexp_like(low, F.lit(cue)), _pairs(F.col(text), *relation)).otherwise(none) for relation, cue in zip(L.RELATIONS, L.RELATION_CUES)]
+    return _named(rows.select(key, F.explode(F.concat(*found)).alias("e")).select(key, "e.*"), known)
+
+
+def extract_preset_relations(rows: DataFrame, key: str, text: str, preset: str, known: DataFrame | None = None) -> DataFrame:
+    """The same with a domain's patterns; those with a single group name no pair."""
+    found = [_pairs(F.col(text), kind, pattern) for pattern, kind in L.PRESET_RELATIONS[preset] if pattern.replace("(?:", "").count("(") == 2]
+    return _named(rows.select(key, F.explode(F.concat(*found)).alias("e")).select(key, "e.*"), known)
+
+
+def _named(each: DataFrame, known: DataFrame | None) -> DataFrame:
+    each = each.filter((F.char_length("src") >= 2) & (F.char_length("dst") >= 2))
+    if known is None:
+        return each
+    names = known.select("name").distinct()
+    either = each.withColumn("row", F.monotonically_increasing_id()).withColumn("name", F.explode(F.array("src", "dst"))).join(names, "name", "left_semi")
+    return either.dropDuplicates(["row"]).drop("row", "name")
 
 
 def upsert_nodes(mentions: DataFrame) -> DataFrame:
@@ -36,11 +55,12 @@ def upsert_edges(events: DataFrame) -> DataFrame:
     return events.groupBy("src", "dst", "type").agg(F.sum("weight").alias("weight"), F.max("seq").alias("last_seen"))
 
 
-def comention_edges(tags: DataFrame, key: str, tag: str) -> DataFrame:
-    """Both directions of every pair of tags of one source row; the tags of a row are few by nature."""
+def comention_edges(tags: DataFrame, key: str, tag: str, typed: DataFrame | None = None) -> DataFrame:
+    """Both directions of every pair of tags of one source row, and the ``typed`` edges (src, dst, type); the tags of a row are few by nature."""
     lists = tags.groupBy(key).agg(F.collect_set(tag).alias("tags"))
-    pairs = lists.select(F.explode("tags").alias("src"), "tags").select("src", F.explode("tags").alias("dst")).filter("src <> dst")
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    pairs = lists.select(F.explode("tags").alias("src"), "tags").select("src", F.explode("tags").alias("dst")).filter("src <> dst").withColumn("type", F.lit("co_mentioned"))
+    each = pairs if typed is None else pairs.unionByName(typed.select("src", "dst", "type"))
+    return each.groupBy("src", "dst", "type").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -49,29 +69,52 @@ def neighbours(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int, fan: int = 50) -> DataFrame:
-    """(start, node, depth): breadth first, each node at its least depth, at most ``fan`` edges per node."""
-    order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    near = edges.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fan).select("src", "dst")
+def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int, fan: int = 50, types: list[str] | None = None) -> DataFrame:
+    """(start, node, type, via, depth): breadth first over the ``fan`` heaviest edges of each node.
+
+    Every edge from a node that is reached within ``hops`` edges to one that is not reached sooner, with the depth of its end (so those from the
+    outermost nodes have depth hops + 1), and a row without type for each node that was expanded.  Of nodes of one depth all count as
+    expanded together.  ``types``: only these edges are followed.
+    """
+    order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst", "type")
+    near = edges.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fan)
+    near = (near if types is None else near.filter(F.col("type").isin(types))).select("src", "dst", "type")
     seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
-    front = seen
-    for depth in range(1, hops + 1):
-        found = front.join(near, front["node"] == near["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = found.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(front)
-    return seen.filter("depth > 0")
+    front, out = seen, None
+    for depth in range(hops + 1):
+        met = front.join(near, front["node"] == near["src"]).select("start", F.col("dst").alias("node"), "type", F.col("src").alias("via"), F.lit(depth + 1).alias("depth"))
+        met = met.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        out = met if out is None else out.unionByName(met)
+        if depth < hops:
+            first = met.groupBy("start", "node").agg(F.min("via").alias("via"))
+            front = first.select("start", "node", F.lit(depth + 1).alias("depth"))
+            seen = seen.unionByName(front)
+            out = out.unionByName(first.select("start", "node", F.lit("").alias("type"), "via", F.lit(depth + 1).alias("depth")))
+    return out
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 4) -> DataFrame:
-    """(start, goal, length, path): the first shortest path in name order; a start that is its goal has length 0."""
-    front = pairs.select("start", "goal", F.col("start").alias("node"), F.array("start").alias("path"))
+    """(start, goal, length, path): the first shortest path in name order, as triples node, type, node; a start that is its goal has length 0."""
+    first = edges.groupBy("src", "dst").agg(F.min("type").alias("type"))
+    front = pairs.select("start", "goal", F.col("start").alias("node"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("path"))
     found = front.filter("start = goal")
     front = front.filter("start <> goal")
     for _ in range(hops):
-        step = front.join(edges.select("src", "dst"), front["node"] == edges["src"]).filter(~F.array_contains("path", F.col("dst")))
-        step = step.select("start", "goal", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("start", "goal", "node").agg(F.min("path").alias("path"))  # one way to each node is enough
+        step = front.join(first, front["node"] == first["src"]).filter(~F.array_contains("nodes", F.col("dst")))
+        step = step.select("start", "goal", F.col("dst").alias("node"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("path", F.array(F.concat_ws(" ", "src", "type", "dst"))).alias("path"))
+        step = step.groupBy("start", "goal", "node").agg(F.min(F.struct("nodes", "path")).alias("x")).select("start", "goal", "node", "x.*")  # one way to each node is enough
         found = found.unionByName(step.filter("node = goal"))
         front = step.filter("node <> goal")
-    best = Window.partitionBy("start", "goal").orderBy(F.size("path"), "path")
-    return found.withColumn("r", F.row_number().over(best)).filter("r = 1").select("start", "goal", (F.size("path") - 1).cast("long").alias("length"), F.array_join("path", ">").alias("path"))
+    best = Window.partitionBy("start", "goal").orderBy(F.size("path"), "nodes")
+    return found.withColumn("r", F.row_number().over(best)).filter("r = 1").select("start", "goal", F.size("path").cast("long").alias("length"), F.array_join("path", "; ").alias("path"))
+
+
+def contexts(edges: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
+    """(name, context) of each node: its name, its description, and its relations among the k heaviest, co-mentions left out."""
+    order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst", "type")
+    top = edges.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & (F.col("type") != "co_mentioned"))
+    said = top.groupBy(F.col("src").alias("name")).agg(F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(" ", "type", "dst").alias("x")))).alias("said"))
+    rows = nodes.join(said, "name", "left")
+    about = F.when(F.col("description").isNotNull() & (F.col("description") != ""), F.concat(F.lit(" ("), "description", F.lit(")"))).otherwise("")
+    links = F.when(F.size("said") > 0, F.concat(F.lit(" → "), F.array_join(F.transform("said", lambda x: x["x"]), ", "))).otherwise("")
+    return rows.select("name", F.concat("name", about, links).alias("context"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -9,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memoquarry.functions import text as T
 from memoquarry.shipping import ship
 
 #: Bytes of query vectors that are sent to every executor at once.
@@ -21,63 +21,151 @@ def top(rows: DataFrame, query: str, item: str, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def blocks(rows: DataFrame, size) -> Iterator[list]:
+    """Rows streamed to the driver in blocks of at most ``QUERY_BYTES`` by ``size``; one block is held at a time."""
+    block, used = [], 0
+    for r in rows.toLocalIterator():
+        n = size(r)
+        if block and used + n > QUERY_BYTES:
+            yield block
+            block, used = [], 0
+        block.append(r)
+        used += n
+    if block:
+        yield block
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """(query_id, vec_id, score): the k rows of highest cosine for each query, ties to smaller ids.
 
     Queries are sent in blocks of bounded size; every task multiplies its rows with a block and
     keeps k for each query, so k rows a task and query are shuffled.
     """
+    return search(queries, rows, k, lambda q, r: r["score"], [], digits).select("query_id", "vec_id", "score")
+
+
+def search(queries: DataFrame, rows: DataFrame, k: int, score, extra: list[str], digits: int | None = None, itself: bool = False) -> DataFrame:
+    """(query_id, vec_id, score): the k rows with the best ``score(query columns, row columns)`` for each query, without the row of its own id (unless ``itself``).
+
+    ``score`` gets numpy columns: of the queries (n, 1) and of the rows (1, m), ``extra`` ones by name, and r["score"], the cosines (n, m).
+    """
     spark = rows.sparkSession
     ship(spark)
-    found, block, size = [], [], 0
-
-    def scan(block):
-        shared = spark.sparkContext.broadcast(block)
+    found = []
 
+    def scan(shared):
         def run(batches):
             ids, matrix = np.array([b[0] for b in shared.value]), np.array([b[1] for b in shared.value], np.float64)
             matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+            asked = {name: np.array([b[2 + i] for b in shared.value])[:, None] for i, name in enumerate(extra)}
             best: dict[int, list] = {i: [] for i in range(len(ids))}
             for b in batches:
                 own = b.column(0).to_numpy()
                 if not len(own):
                     continue
                 x = np.array(b.column(1).to_pylist(), np.float64)
-                scores = matrix @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                cosine = matrix @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                scores = np.asarray(score(asked, {"score": cosine, **{name: b.column(2 + i).to_numpy()[None, :] for i, name in enumerate(extra)}}))
                 keys = np.round(scores, digits) if digits is not None else scores
-                keys = np.where(own[None, :] == ids[:, None], -np.inf, keys)
+                keys = keys if itself else np.where(own[None, :] == ids[:, None], -np.inf, keys)
                 for i in range(len(ids)):
                     at = np.lexsort((own, -keys[i]))[:k]
                     best[i] = sorted([*best[i], *((-keys[i, j], int(own[j]), float(scores[i, j])) for j in at if keys[i, j] > -np.inf)])[:k]
-            out = [(int(ids[i]), v, -s) for i, found in best.items() for s, v, _ in found]
+            out = [(int(ids[i]), v, -s, x) for i, found in best.items() for s, v, x in found]
+            cols = list(zip(*out)) if out else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["query_id", "vec_id", "key", "score"])
+
+        return rows.select("vec_id", "embedding", *extra).mapInArrow(run, "query_id long, vec_id long, key double, score double")
+
+    for block in blocks(queries.select("vec_id", "embedding", *extra), lambda r: 8 * len(r[1]) + 64):
+        found.append(scan(spark.sparkContext.broadcast([(r[0], list(r[1]), *r[2:]) for r in block])))
+    if not found:
+        return rows.filter("false").select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("key")
+
+
+class Passages:
+    """Query texts with an inverted index of their n-grams and tokens."""
+
+    def __init__(self, rows: list[tuple]):
+        self.ids, self.texts = [r[0] for r in rows], [r[1] for r in rows]
+        self.size = [np.array([len(r[c]) for r in rows], np.float64) for c in (2, 3)]
+        self.postings: list[dict[str, list[int]]] = [{}, {}]
+        for i, r in enumerate(rows):
+            for held, terms in zip(self.postings, r[2:4]):
+                for t in terms:
+                    held.setdefault(t, []).append(i)
+        self.lengths = np.array([len(t) for t in self.texts])
+
+    def scores(self, text: str, grams: list[str], tokens: list[str]) -> np.ndarray:
+        """TX6 of every passage for a text; containment is tried where the shared n-grams allow it."""
+        if not text:
+            return np.zeros(len(self.ids))
+        shared = [np.zeros(len(self.ids)), np.zeros(len(self.ids))]
+        for out, held, terms in zip(shared, self.postings, (grams, tokens)):
+            hit = [p for t in terms if (p := held.get(t))]
+            if hit:
+                out += np.bincount(np.concatenate(hit), minlength=len(out))
+        part = [np.divide(s, n, out=np.zeros_like(s), where=n > 0) for s, n in zip(shared, self.size)]
+        best = np.maximum(0.7 * part[0], 0.6 * part[1])
+        # a passage inside a text shares all of its words but the outer two
+        for i in np.flatnonzero((shared[1] >= self.size[1] - 2) & (self.lengths > 0)).tolist():
+            if self.texts[i] in text:
+                best[i] = max(best[i], 0.7 + 0.3 * min(5 * len(self.texts[i]) / len(text), 1))
+        for i in np.flatnonzero((self.lengths >= len(text)) & (best < 0.6)).tolist():
+            if text in self.texts[i]:
+                best[i] = 0.6
+        return np.where(self.lengths > 0, best, 0.0)
+
+
+def most_relevant(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, score): for each query the k texts of highest relevance above 0, ties to smaller ids.
+
+    Both have id, text (lower-cased), grams and tokens.  Queries are sent in blocks of bounded size, and a task keeps k for each.
+    """
+    spark = texts.sparkSession
+    ship(spark)
+    found = []
+
+    def scan(shared):
+        def run(batches):
+            passages, best = None, {}
+            for b in batches:
+                passages = passages or Passages(shared.value)
+                rows = [(i, t, g, w) for i, t, g, w in zip(*(c.to_pylist() for c in b.columns)) if t is not None]
+                if not rows:
+                    continue
+                scores = np.round(np.stack([passages.scores(t, g, w) for _, t, g, w in rows], 1), 6)
+                ids = np.array([r[0] for r in rows])
+                for q in np.flatnonzero((scores > 0).any(axis=1)).tolist():
+                    at = np.lexsort((ids, -scores[q]))[:k]
+                    best[q] = sorted([*best.get(q, []), *((-float(scores[q, j]), int(ids[j])) for j in at if scores[q, j] > 0)])[:k]
+            out = [(int(passages.ids[q]), i, -s) for q, found in best.items() for s, i in found]
             cols = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
 
-        return rows.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+        return texts.select("id", "text", "grams", "tokens").mapInArrow(run, "query_id long, id long, score double")
 
-    for r in queries.select("vec_id", "embedding").toLocalIterator():
-        block.append((r[0], list(r[1])))
-        size += 8 * len(r[1])
-        if size >= QUERY_BYTES:
-            found.append(scan(block))
-            block, size = [], 0
-    if block or not found:
-        found.append(scan(block) if block else rows.filter("false").select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")))
-    return top(reduce(DataFrame.unionByName, found), "query_id", "vec_id", k)
+    for block in blocks(queries.filter("text is not null").select("id", "text", "grams", "tokens"), lambda r: 8 * len(r[1]) + 256):
+        found.append(scan(spark.sparkContext.broadcast([tuple(r) for r in block])))
+    if not found:
+        return texts.filter("false").select(F.col("id").alias("query_id"), F.lit(0).cast("long").alias("rank"), "id", F.lit(0.0).alias("score"))
+    return top(reduce(DataFrame.unionByName, found), "query_id", "id", k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def slot_scores(queries: DataFrame, slots: DataFrame) -> DataFrame:
-    """0.6 cosine + 0.15 activation + 0.15 recency, and up to 0.2 for required entities; a bounded slot table meets every query."""
-    met = queries.crossJoin(F.broadcast(slots))  # slots: at most the configured number
-    recency = 1 / (1 + 0.1 * F.greatest(F.lit(1), F.col("age")))
-    bonus = 0.2 * F.size(F.array_intersect("required", "entities")) / F.greatest(F.size("required"), F.lit(1))
-    score = 0.6 * F.greatest(F.lit(0.0), T.cosine(F.col("q"), F.col("v"))) + 0.15 * F.col("activation") + 0.15 * recency + bonus
-    return met.select("query_id", "slot_id", score.alias("score"))
+def slot_score(cosine, activation, age, shared, required):
+    """0.6 cosine + 0.15 activation + 0.15 recency, and up to 0.2 for required entities; numbers or numpy arrays."""
+    bonus = np.where(required > 0, 0.2 * shared / np.maximum(required, 1), 0.0)
+    return 0.6 * np.maximum(cosine, 0) + 0.15 * activation + 0.15 / (1 + 0.1 * np.maximum(age, 1)) + bonus
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """The admission table on importance, similarity, explicit and correction; the first row that holds decides."""
-    imp, sim = F.col("importance"), F.col("similarity")
+    """The admission table on importance, similarity, explicit and correction, and ``slots`` by falling similarity; the first row that holds decides.
+
+    Adds decision, strength, target (of an update) and co_activations.
+    """
+    imp, sim, slots = F.col("importance"), F.col("similarity"), F.col("slots")
     novel = sim < 0.7
     decision = (
         F.when(F.col("explicit"), F.when(novel, "new").otherwise("update"))
@@ -87,14 +175,22 @@ def decide(rows: DataFrame) -> DataFrame:
         .when(novel & (imp >= 0.2), "new")
         .otherwise("reject")
     )
-    stored = F.greatest(imp, F.lit(0.4))
-    strength = F.when(F.col("explicit"), stored).when((sim >= 0.7) & (imp >= 0.2), F.greatest(imp, F.lit(0.3))).when(novel & (imp >= 0.2), stored).otherwise(0.0)
-    return rows.withColumn("decision", decision).withColumn("strength", strength)
+    rows = rows.withColumn("decision", decision)
+    rejected, stored = F.col("decision") == "reject", F.col("explicit") | novel
+    strength = F.when(rejected, 0.0).when(stored, F.greatest(imp, F.lit(0.4))).otherwise(F.greatest(imp, F.lit(0.3)))
+    target = F.when(F.col("decision").isin("update", "merge", "overwrite"), F.try_element_at(slots, F.lit(1)))
+    others = F.when(rejected, F.slice(slots, 1, 0)).when(stored, F.slice(slots, 1, 3)).otherwise(F.slice(slots, 2, 3))
+    return rows.withColumns({"strength": strength, "target": target, "co_activations": others})
+
+
+def layer(rows: DataFrame, name: str, branch: int) -> DataFrame:
+    """Items (query_id, text, score, n) of one branch of a federated recall."""
+    return rows.select("query_id", F.lit(name).alias("layer"), F.lit(branch).alias("branch"), "text", F.col("score").cast("double").alias("score"), F.col("n").cast("long").alias("n"))
 
 
-def federate(layers: list[DataFrame], k: int) -> DataFrame:
-    """Layers (query_id, layer, branch, key, score, n) as one ranking; a key is kept in its first layer."""
-    both = reduce(DataFrame.unionByName, layers)
-    first = both.withColumn("first", F.row_number().over(Window.partitionBy("query_id", "key").orderBy("branch", F.desc("score"), F.desc("n")))).filter("first = 1")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "branch", "key")
-    return first.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+def federate(layers: list[DataFrame], k: int, wanted: tuple[str, ...] = ("l1", "l2", "l3")) -> DataFrame:
+    """Branches as one ranking, of the wanted layers only; of texts with one head of 100 characters the first branch's best is kept."""
+    both = reduce(DataFrame.unionByName, layers).filter(F.col("layer").isin(*wanted)).withColumn("key", F.substring("text", 1, 100))
+    score = F.desc(F.round("score", 6))
+    first = both.withColumn("first", F.row_number().over(Window.partitionBy("query_id", "key").orderBy("branch", score, "n"))).filter("first = 1")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(score, "branch", "key")).cast("long")).filter(F.col("rank") <= k)

@@ -55,8 +55,8 @@ def step(slots: list[dict], text: str, importance: float, explicit: bool, words:
 
 def features(turns: DataFrame) -> DataFrame:
     """What a step needs of each turn, as Column expressions."""
-    text = F.col("text")
-    return turns.select("conv_id", "turn", "text", T.importance(text).alias("importance"), (F.col("role") == "system").alias("explicit"), F.array_distinct(T.tokenize(text)).alias("words"))
+    rows = T.with_importance(turns.select("conv_id", "turn", "role", "text"))
+    return rows.select("conv_id", "turn", "text", "importance", (F.col("role") == "system").alias("explicit"), F.array_distinct(T.tokenize(F.lower("text"))).alias("words"))
 
 
 def run(pdf: pd.DataFrame, slots: list[dict]) -> pd.DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memoquarry.functions import text as T
+
 
 def tiers(turns: DataFrame, k: int, m: int) -> DataFrame:
     """``turns`` with r (1 = newest), tier, and the turn whose arrival pushed it out (null if still held)."""
@@ -29,9 +31,17 @@ def budget_context(rows: DataFrame, budget: int) -> DataFrame:
     return held.filter(F.col("used") <= budget)
 
 
+def merge_segments(turns: DataFrame) -> DataFrame:
+    """One segment of the turns (turn, tokens, entities, tags) of each session: range, count, tokens up to 200, entities and tags once."""
+    names = F.array_sort(F.array_distinct(F.concat(F.flatten(F.collect_list("entities")), F.flatten(F.collect_list("tags")))))
+    return turns.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("n_turns"), F.least(F.sum("tokens"), F.lit(200)).alias("tokens"), F.array_join(names, ",").alias("entities"))
+
+
 def recall(rows: DataFrame) -> DataFrame:
-    """Share of the newest turn's words (``w``) in each older held turn, weighted by tier."""
-    asked = rows.filter("r = 1").select("conv_id", F.col("w").alias("q"))
-    raw = F.size(F.array_intersect("q", "w")) / F.greatest(F.size("q"), F.lit(1))
+    """Relevance of each older held turn to the newest one of its session, weighted by tier; over 0.05 before that.  ``rows``: tiers of turns."""
+    rows = rows.withColumn("low", F.lower("text")).withColumn("t", T.tokenize(F.col("low")))
+    rows = rows.select("conv_id", "turn", "r", "tier", "low", F.array_distinct("t").alias("tokens"), F.array_distinct(T.ngrams(F.col("low"), F.col("t"))).alias("grams"))
+    asked = rows.filter("r = 1").select("conv_id", F.col("low").alias("q"), F.col("tokens").alias("qt"), F.col("grams").alias("qg"))
+    raw = T.relevance(F.col("q"), F.col("low"), F.col("qg"), F.col("grams"), F.col("qt"), F.col("tokens"))
     found = rows.filter("r > 1 and tier <> 'overflow'").join(asked, "conv_id").withColumn("raw", raw).filter("raw > 0.05")
-    return found.select("conv_id", "turn", F.round(F.col("raw") * F.when(F.col("tier") == "window", 0.8).otherwise(0.6), 6).alias("score"))
+    return found.select("conv_id", "turn", (F.col("raw") * F.when(F.col("tier") == "window", 0.8).otherwise(0.6)).alias("score"))

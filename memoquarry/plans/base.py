@@ -48,13 +48,13 @@ UNION ALL SELECT o_orderkey * 10 + 4, 'orders', CASE o_orderkey % 4
   WHEN 1 THEN concat('docker run --rm -d app', CAST(o_orderkey AS STRING), ' -f conf.yaml | tee out.sh')
   WHEN 2 THEN concat('what is the state of order ', CAST(o_orderkey AS STRING), '?')
   ELSE concat('how did it fail? because the disk of order ', CAST(o_orderkey AS STRING), ' was full') END FROM {orders}
-UNION ALL SELECT n_nationkey * 10 + 5, 'nation', CASE n_nationkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN ' thanks ' WHEN 2 THEN 'hi there' WHEN 3 THEN '我们决定使用数据库 Redis' ELSE '記録を覚えて 3 GB' END FROM {nation}
+UNION ALL SELECT n_nationkey * 10 + 5, 'nation', CASE n_nationkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN ' thanks ' WHEN 2 THEN 'hi there' WHEN 3 THEN '我们决定使用数据库 Redis，以后再说怎么部署' ELSE '記録を覚えて 3 GB' END FROM {nation}
 UNION ALL SELECT (l_orderkey * 8 + l_linenumber) * 10 + 6, 'lineitem', CASE l_linenumber % 5
   WHEN 0 THEN concat('Revenue was $', CAST(l_partkey AS STRING), ' with 12% margin, audit the account and the risk report')
   WHEN 1 THEN concat('The contract clause ', CAST(l_suppkey AS STRING), ' binds the party, evidence within 30 days')
   WHEN 2 THEN concat('Dose 50 mg for the chronic disease, blood pressure 120/80, bed ', CAST(l_suppkey AS STRING))
   WHEN 3 THEN concat('The client wants a quote for deal ', CAST(l_partkey AS STRING), ', follow up with a demo')
-  ELSE concat('The hero and his rival meet in the village, scene ', CAST(l_partkey AS STRING)) END FROM {lineitem} WHERE l_orderkey % 4 = 0
+  ELSE concat('The hero and his rival meet in the village, scene ', CAST(l_partkey AS STRING)) END FROM {lineitem}
 """
 STARS = ("part", "supplier", "customer", "orders", "nation", "lineitem")
 UTTERANCES_SQL = UTTERANCES.format(**{t: t for t in STARS})

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from memoquarry.functions import text as T
 from memoquarry.operators import decay, recall, session, store
 from memoquarry.plans.base import query, r6, read
+from memoquarry.plans.text_queries import facts, flag, found, grams, has, importance, relevance, spans, tokens, with_grams
+from memoquarry.functions import lexicons as L
 
 K, M = 3, 2
 
@@ -32,38 +34,67 @@ def l1_budget_context(spark, d):
     return session.budget_context(rows, 100).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("tokens").alias("tokens"))
 
 
-@query("l1_segment_merge", "SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_turns, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, least(sum(trunc(0.25 * length(text))::BIGINT), 200)::BIGINT AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r > 3 GROUP BY conv_id")
+@query("l1_segment_merge", f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations), s AS (SELECT *, {spans('text')} AS e FROM t WHERE r > 3),
+n AS (SELECT conv_id, string_agg(w, ',' ORDER BY w) AS entities FROM (SELECT DISTINCT conv_id, w FROM (SELECT conv_id, unnest(e) AS w FROM s UNION ALL SELECT conv_id, role FROM s)) GROUP BY conv_id)
+SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_turns, least(sum(trunc(0.25 * length(text))::BIGINT), 200)::BIGINT AS tokens, any_value(entities) AS entities FROM s JOIN n USING (conv_id) GROUP BY conv_id""")
 def l1_segment_merge(spark, d):
-    """L1h, L1j."""
-    rows = session.tiers(read(spark, d, "conversations"), K, M).filter("tier <> 'window'").withColumn("tokens", T.token_estimate(F.col("text")))
-    return rows.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("n_turns"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.least(F.sum("tokens"), F.lit(200)).alias("tokens"))
+    """L1h, L1j: range, count, tokens up to 200, and the union of entities and tags (the role stands for a tag)."""
+    rows = session.tiers(read(spark, d, "conversations"), K, M).filter("tier <> 'window'")
+    return session.merge_segments(T.with_entities(rows, "text").withColumn("tokens", T.token_estimate(F.col("text"))).withColumn("tags", F.array("role")))
 
 
-@query("l1_recall", "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations), q AS (SELECT conv_id, lower(text) AS q FROM t WHERE r = 1), s AS (SELECT t.conv_id, t.turn, r, regexp_extract_all(q, '[a-z]+') AS qw, regexp_extract_all(lower(text), '[a-z]+') AS tw FROM t JOIN q USING (conv_id) WHERE r BETWEEN 2 AND 5), x AS (SELECT *, len(list_intersect(list_distinct(qw), list_distinct(tw)))::DOUBLE / greatest(len(list_distinct(qw)), 1) AS raw FROM s) SELECT conv_id, turn, round(raw * CASE WHEN r <= 3 THEN 0.8 ELSE 0.6 END, 6) AS score FROM x WHERE raw > 0.05")
+@query("l1_total_tokens", "SELECT conv_id, sum(trunc(0.25 * length(text))::BIGINT)::BIGINT AS tokens, count(*) AS held FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 5 GROUP BY conv_id")
+def l1_total_tokens(spark, d):
+    """L1f: what a session holds; L1e leaves nothing of it."""
+    rows = session.tiers(read(spark, d, "conversations"), K, M).filter("tier <> 'overflow'").withColumn("tokens", T.token_estimate(F.col("text")))
+    return rows.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("held"))
+
+
+@query("l1_recall", f"""WITH t AS (SELECT conv_id, turn, lower(text) AS t, {tokens('text')} AS tl, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations),
+g AS (SELECT *, list_distinct(tl) AS tt, list_distinct({grams('tl')}) AS tg FROM t), q AS (SELECT conv_id, t AS q, tt AS qt, tg AS qg FROM g WHERE r = 1),
+x AS (SELECT conv_id, turn, r, {relevance('q', 't', 'qg', 'tg', 'qt', 'tt')} AS raw FROM g JOIN q USING (conv_id) WHERE r BETWEEN 2 AND 5)
+SELECT conv_id, turn, round(raw * CASE WHEN r <= 3 THEN 0.8 ELSE 0.6 END, 6) AS score FROM x WHERE raw > 0.05""")
 def l1_recall(spark, d):
-    """L1k, RC13, PF6: the newest turn asks, the others of the session answer, weighted by tier."""
-    rows = session.tiers(read(spark, d, "conversations"), K, M).withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))))
-    return session.recall(rows)
+    """L1k, RC13, PF6: the newest turn asks, the others of the session answer by relevance, weighted by tier."""
+    rows = session.tiers(read(spark, d, "conversations"), K, M).filter("tier <> 'overflow'")
+    return session.recall(rows).select("conv_id", "turn", r6(F.col("score")).alias("score"))
 
 
 # ---- gate on vectors ----------------------------------------------------------------------------------------------
-SLOTS = "vec_id % 20 = 0"  # the rows that stand for occupied slots
+ASKED = "vec_id % 100 = 0"  # the query set; it meets all rows but itself
 
 
-@query("gate_novelty", "SELECT q.vec_id AS query_id, round(max(list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[])), 5) AS top_similarity, max(list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[])) < 0.7 AS novel FROM embeddings q, embeddings s WHERE q.vec_id % 20 = 1 AND s.vec_id % 20 = 0 GROUP BY q.vec_id")
+@query("gate_novelty", f"SELECT q.vec_id AS query_id, round(max(list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[])), 5) AS top_similarity, max(list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[])) < 0.7 AS novel FROM embeddings q, embeddings s WHERE q.{ASKED} AND s.vec_id <> q.vec_id GROUP BY q.vec_id")
 def gate_novelty(spark, d):
     """G1, G11."""
     e = read(spark, d, "embeddings")
-    best = recall.nearest(e.filter("vec_id % 20 = 1"), e.filter(SLOTS), 1)
+    best = recall.nearest(e.filter(ASKED), e, 1)
     return best.select("query_id", F.round("score", 5).alias("top_similarity"), (F.col("score") < 0.7).alias("novel"))
 
 
-@query("gate_decision", "WITH x AS (SELECT event_id, (event_id % 11) / 20.0 AS imp, (event_id % 7) / 6.0 AS sim, event_type = 'click' AS explicit, event_type = 'error' AS correction FROM events), y AS (SELECT *, sim < 0.7 AS novel FROM x) SELECT event_id, CASE WHEN explicit THEN CASE WHEN novel THEN 'new' ELSE 'update' END WHEN imp < 0.2 AND NOT novel THEN 'reject' WHEN novel AND imp >= 0.25 THEN 'new' WHEN sim >= 0.7 THEN CASE WHEN correction THEN 'overwrite' WHEN sim > 0.9 THEN 'merge' ELSE 'update' END WHEN novel AND imp >= 0.2 THEN 'new' ELSE 'reject' END AS decision, round(CASE WHEN explicit THEN greatest(imp, 0.4) WHEN sim >= 0.7 AND imp >= 0.2 THEN greatest(imp, 0.3) WHEN novel AND imp >= 0.2 THEN greatest(imp, 0.4) ELSE 0 END, 6) AS strength FROM y")
+#: SQL of a hash embedding of ``dim`` numbers, before it is given unit length (a cosine does not need that).
+def hash_sql(x: str, dim: int) -> str:
+    return f"list_transform(range(0, {dim}), lambda i: (('0x' || substr(sha256({x}), ((i % 32) * 2 + 1)::INTEGER, 2))::INTEGER)::DOUBLE / 255 * 2 - 1)"
+
+
+@query("gate_decision", f"""WITH t AS (SELECT conv_id, turn, {importance('text')} AS imp, {has('text', L.EXPLICIT)} AS explicit, {has('text', L.CORRECTION)} AS correction, {hash_sql('text', 8)} AS v FROM conversations),
+p AS (SELECT a.conv_id, a.turn, b.turn AS slot, list_cosine_similarity(a.v, b.v) AS sim FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn < a.turn),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(sim, 9) DESC, slot) AS k FROM p),
+s AS (SELECT conv_id, turn, max(sim) AS sim, list(slot ORDER BY k) AS slots FROM r GROUP BY conv_id, turn),
+y AS (SELECT t.*, coalesce(s.sim, 0) AS sim, coalesce(slots, []) AS slots, coalesce(s.sim, 0) < 0.7 AS novel FROM t LEFT JOIN s USING (conv_id, turn)),
+z AS (SELECT *, CASE WHEN explicit THEN CASE WHEN novel THEN 'new' ELSE 'update' END WHEN imp < 0.2 AND NOT novel THEN 'reject' WHEN novel AND imp >= 0.25 THEN 'new' WHEN sim >= 0.7 THEN CASE WHEN correction THEN 'overwrite' WHEN sim > 0.9 THEN 'merge' ELSE 'update' END WHEN novel AND imp >= 0.2 THEN 'new' ELSE 'reject' END AS decision FROM y)
+SELECT conv_id, turn, decision, CASE WHEN decision IN ('update', 'merge', 'overwrite') THEN slots[1] END AS target,
+  round(CASE WHEN decision = 'reject' THEN 0 WHEN explicit OR novel THEN greatest(imp, 0.4) ELSE greatest(imp, 0.3) END, 6) AS strength,
+  array_to_string(CASE WHEN decision = 'reject' THEN [] WHEN explicit OR novel THEN slots[1:3] ELSE slots[2:4] END, ',') AS co_activations FROM z""")
 def gate_decision(spark, d):
-    """G12, G13 on given importance, similarity and flags."""
-    e = read(spark, d, "events")
-    x = e.select("event_id", (F.col("event_id") % 11 / 20.0).alias("importance"), (F.col("event_id") % 7 / 6.0).alias("similarity"), (F.col("event_type") == "click").alias("explicit"), (F.col("event_type") == "error").alias("correction"))
-    return recall.decide(x).select("event_id", "decision", r6(F.col("strength")).alias("strength"))
+    """G12, G13: every turn against the turns before it in its conversation, which stand for slots."""
+    turns = T.with_importance(T.with_hash_embedding(read(spark, d, "conversations").select("conv_id", "turn", "text"), "text", 8, "v"))
+    turns = turns.withColumn("low", F.lower("text")).select("conv_id", "turn", "v", "importance", T.has(F.col("low"), L.EXPLICIT).alias("explicit"), T.has(F.col("low"), L.CORRECTION).alias("correction"))
+    slots = turns.select("conv_id", F.col("turn").alias("slot"), F.col("v").alias("s"))
+    near = turns.select("conv_id", "turn", "v").join(slots, "conv_id").filter("slot < turn").withColumn("sim", T.cosine(F.col("v"), F.col("s")))  # turns of one conversation
+    ranked = near.groupBy("conv_id", "turn").agg(F.max("sim").alias("similarity"), F.sort_array(F.collect_list(F.struct((-F.round("sim", 9)).alias("k"), "slot"))).alias("ranked"))
+    rows = turns.join(ranked, ["conv_id", "turn"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0))).withColumn("slots", F.coalesce(F.transform("ranked", lambda x: x["slot"]), F.array().cast("array<long>")))
+    return recall.decide(rows).select("conv_id", "turn", "decision", "target", r6(F.col("strength")).alias("strength"), F.array_join("co_activations", ",").alias("co_activations"))
 
 
 @query("gate_free_slot", "WITH s AS (SELECT user_id AS ns, event_id % 8 AS slot, count(*) FILTER (WHERE event_type <> 'error') AS n, max(value) / 120 AS a FROM events GROUP BY 1, 2), f AS (SELECT ns, min(slot) FILTER (WHERE n = 0) AS empty, min(a) AS least, arg_min(slot, a * 1000000 + slot / 1000.0) AS weakest FROM s GROUP BY ns) SELECT ns, coalesce(empty, CASE WHEN least > 0.6 THEN -1 ELSE weakest END)::BIGINT AS free_slot FROM f")
@@ -112,13 +143,13 @@ def state_eviction(spark, d):
     return slots(spark, d).filter(a < 0.05).select("slot", F.lit("eviction").alias("source"), r6(a).alias("importance"))
 
 
-@query("state_compact", f"WITH s AS ({SLOT_SQL}), a AS (SELECT max(ts) AS now FROM events) SELECT (SELECT count(*) FROM s WHERE activation * pow(0.95::DOUBLE, slot % 90) < 0.1) AS evicted, (SELECT least(count(*), 1000) FROM events, a WHERE epoch(ts) < epoch(now) - 20 * 86400) AS archived")
+@query("state_compact", f"WITH s AS ({SLOT_SQL}), a AS (SELECT max(ts) AS now FROM events) SELECT (SELECT count(*) FROM s WHERE activation * pow(0.95::DOUBLE, slot % 90) < 0.1) AS evicted, (SELECT least(count(*), 1000) FROM events, a WHERE epoch(ts) <= epoch(now) - 20 * 86400) AS archived")
 def state_compact(spark, d):
     """ST18, PF12, PF13."""
     e = read(spark, d, "events")
     evicted = slots(spark, d).filter(F.col("activation") * F.pow(F.lit(0.95), F.col("slot") % 90) < 0.1).agg(F.count(F.lit(1)).alias("evicted"))
     now = e.agg(F.max("ts").alias("now"))
-    archived = e.join(F.broadcast(now), F.col("ts") < F.col("now") - F.expr("interval 20 days")).agg(F.least(F.count(F.lit(1)), F.lit(1000)).alias("archived"))
+    archived = e.join(F.broadcast(now), F.col("ts") <= F.col("now") - F.expr("interval 20 days")).agg(F.least(F.count(F.lit(1)), F.lit(1000)).alias("archived"))
     return evicted.crossJoin(archived)
 
 
@@ -130,51 +161,53 @@ def state_status(spark, d):
     return slots(spark, d).agg(F.count_if(F.col("activation") > 0.5).alias("active"), F.count(F.lit(1)).alias("used")).crossJoin(e).crossJoin(c)
 
 
-@query("slot_preview", f"WITH s AS ({SLOT_SQL}) SELECT slot, round(activation, 3) AS activation, left('slot ' || slot || ' holds ' || writes || ' writes', 12) AS preview FROM s ORDER BY writes DESC, slot LIMIT 20")
+@query("slot_preview", "WITH s AS (SELECT conv_id, arg_max(text, turn) AS state, least(1.0, count(*) / 7.0) AS activation FROM conversations GROUP BY conv_id) SELECT conv_id, round(activation, 3) AS activation, left(state, 100) AS preview FROM s ORDER BY round(activation, 3) DESC, conv_id LIMIT 20")
 def slot_preview(spark, d):
-    """PF10."""
-    text = F.concat(F.lit("slot "), "slot", F.lit(" holds "), "writes", F.lit(" writes"))
-    return slots(spark, d).orderBy(F.desc("writes"), "slot").limit(20).select("slot", F.round("activation", 3).alias("activation"), F.substring(text, 1, 12).alias("preview"))
+    """PF10, ST14: the twenty most active slots (one for each conversation) with the head of their text."""
+    s = read(spark, d, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("state"), F.least(F.lit(1.0), F.count(F.lit(1)) / 7.0).alias("activation"))
+    return s.select("conv_id", F.round("activation", 3).alias("activation"), F.substring("state", 1, 100).alias("preview")).orderBy(F.desc("activation"), "conv_id").limit(20)
 
 
 # ---- recall -------------------------------------------------------------------------------------------------------
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[])"
-SCORED = f"SELECT q.vec_id AS query_id, s.vec_id AS slot_id, 0.6 * greatest(0, {COS}) + 0.15 * (s.vec_id % 10) / 10.0 + 0.15 / (1 + 0.1 * greatest(1, 500 - s.vec_id % 500)) + CASE WHEN q.label = s.label THEN 0.2 ELSE 0 END AS score FROM embeddings q, embeddings s WHERE q.vec_id % 20 = 1 AND s.vec_id % 20 = 0 AND s.vec_id <> 40"
+SCORED = f"SELECT q.vec_id AS query_id, s.vec_id AS slot_id, 0.6 * greatest(0, {COS}) + 0.15 * (s.vec_id % 10) / 10.0 + 0.15 / (1 + 0.1 * greatest(1, 500 - s.vec_id % 500)) + CASE WHEN q.label = s.label THEN 0.2 ELSE 0 END AS score FROM embeddings q, embeddings s WHERE q.{ASKED} AND s.vec_id <> 40 AND s.vec_id <> q.vec_id"
 
 
-def _slot_scores(spark, d):
-    e = read(spark, d, "embeddings")
-    s = e.filter(SLOTS).filter("vec_id <> 40").select(F.col("vec_id").alias("slot_id"), F.col("embedding").alias("v"), (F.col("vec_id") % 10 / 10.0).alias("activation"), (500 - F.col("vec_id") % 500).alias("age"), F.array(F.col("label")).alias("entities"))
-    q = e.filter("vec_id % 20 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.array(F.col("label")).alias("required"))
-    return recall.slot_scores(q, s)
+def _slot_scores(spark, d, k: int):
+    """The k best slots of each query; a slot for each vector, its entity the label, without the excluded one (PF7)."""
+    e = read(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"), (F.col("vec_id") % 10 / 10.0).alias("activation"), (500 - F.col("vec_id") % 500).alias("age"))
+    score = lambda q, s: recall.slot_score(s["score"], s["activation"], s["age"], q["label"] == s["label"], 1)
+    found = recall.search(e.filter(ASKED), e.filter("vec_id <> 40"), k, score, ["label", "activation", "age"], digits=5)
+    return found.select("query_id", F.col("vec_id").alias("slot_id"), F.round("score", 5).alias("score"))
 
 
 @query("slot_score_topk", f"WITH s AS ({SCORED}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, slot_id) AS rank FROM s) SELECT query_id, slot_id, round(score, 5) AS score FROM r WHERE rank <= 5")
 def slot_score_topk(spark, d):
     """RC0-RC4, PF7."""
-    return recall.top(_slot_scores(spark, d).withColumn("score", F.round("score", 5)), "query_id", "slot_id", 5).select("query_id", "slot_id", "score")
+    return _slot_scores(spark, d, 5)
 
 
-@query("recall_rehearsal", f"WITH s AS ({SCORED}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, slot_id) AS rank FROM s), h AS (SELECT slot_id, count(*) AS n FROM r WHERE rank <= 5 GROUP BY slot_id) SELECT slot_id, n AS rehearsals, round(least(1.0, (slot_id % 10) / 10.0 + 0.1 * n), 6) AS activation FROM h")
+@query("recall_rehearsal", f"WITH s AS ({SCORED}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, slot_id) AS rank FROM s), h AS (SELECT slot_id, count(*) AS n, max(query_id) AS last FROM r WHERE rank <= 5 GROUP BY slot_id) SELECT slot_id, n AS rehearsals, last AS last_active_step, round(least(1.0, (slot_id % 10) / 10.0 + 0.1 * n), 6) AS activation FROM h")
 def recall_rehearsal(spark, d):
-    """RC5: returned slots are boosted once for each time they are returned."""
-    hits = recall.top(_slot_scores(spark, d).withColumn("score", F.round("score", 5)), "query_id", "slot_id", 5).groupBy("slot_id").agg(F.count(F.lit(1)).alias("rehearsals"))
-    return hits.select("slot_id", "rehearsals", r6(F.least(F.lit(1.0), F.col("slot_id") % 10 / 10.0 + 0.1 * F.col("rehearsals"))).alias("activation"))
+    """RC5: returned slots are boosted and refreshed each time they are returned (the query's id is the step)."""
+    hits = _slot_scores(spark, d, 5).groupBy("slot_id").agg(F.count(F.lit(1)).alias("rehearsals"), F.max("query_id").alias("last_active_step"))
+    return hits.select("slot_id", "rehearsals", "last_active_step", r6(F.least(F.lit(1.0), F.col("slot_id") % 10 / 10.0 + 0.1 * F.col("rehearsals"))).alias("activation"))
 
 
-@query("l3_knn", f"WITH k AS (SELECT q.vec_id AS query_id, s.vec_id, s.label, {COS} AS c FROM embeddings q, embeddings s WHERE q.vec_id % 50 = 0 AND s.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 5) DESC, vec_id) AS rank FROM k) SELECT query_id, vec_id, round(c, 5) AS score FROM r WHERE rank <= 5 AND label <> 3")
+@query("l3_knn", f"WITH k AS (SELECT q.vec_id AS query_id, s.vec_id, s.label, {COS} AS c FROM embeddings q, embeddings s WHERE q.{ASKED} AND s.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 5) DESC, vec_id) AS rank FROM k) SELECT query_id, vec_id, round(c, 5) AS score FROM r WHERE rank <= 5 AND label <> 3")
 def l3_knn(spark, d):
     """RC6: archived hits (label 3 here) are dropped after the k nearest are taken."""
     e = read(spark, d, "embeddings")
-    best = recall.nearest(e.filter("vec_id % 50 = 0"), e, 5, digits=5)
+    best = recall.nearest(e.filter(ASKED), e, 5, digits=5)
     return best.join(e.filter("label <> 3").select("vec_id"), "vec_id").select("query_id", "vec_id", F.round("score", 5).alias("score"))
 
 
-@query("state_forget", f"WITH k AS (SELECT q.vec_id AS query_id, s.vec_id, {COS} AS c FROM embeddings q, embeddings s WHERE q.vec_id % 100 = 7 AND s.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 5) DESC, vec_id) AS rank FROM k) SELECT DISTINCT vec_id, true AS archived FROM r WHERE rank <= 5")
+@query("state_forget", f"WITH k AS (SELECT q.vec_id AS query_id, s.vec_id, {COS} AS c FROM embeddings q, embeddings s WHERE q.{ASKED} AND s.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 5) DESC, vec_id) AS rank FROM k), s AS ({SCORED}), l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, slot_id) AS rank FROM s) SELECT DISTINCT 'l3' AS layer, vec_id, 'archived' AS fate FROM r WHERE rank <= 5 UNION ALL SELECT DISTINCT 'l2', slot_id, 'evicted' FROM l WHERE rank <= 5 AND round(score, 5) > 0.5")
 def state_forget(spark, d):
-    """ST19, RC12: the five nearest records are archived whatever their distance."""
+    """ST13, ST19, RC12, PF6: of the five best slots those over 0.5 are evicted, and the five nearest records are archived whatever their distance."""
     e = read(spark, d, "embeddings")
-    return recall.nearest(e.filter("vec_id % 100 = 7"), e, 5, digits=5).select("vec_id", F.lit(True).alias("archived")).distinct()
+    slots = _slot_scores(spark, d, 5).filter("score > 0.5").select(F.lit("l2").alias("layer"), F.col("slot_id").alias("vec_id"), F.lit("evicted").alias("fate")).distinct()
+    return recall.nearest(e.filter(ASKED), e, 5, digits=5).select(F.lit("l3").alias("layer"), "vec_id", F.lit("archived").alias("fate")).distinct().unionByName(slots)
 
 
 @query("l3_hybrid", f"WITH k AS (SELECT s.vec_id, s.label, row_number() OVER (ORDER BY round({COS}, 5) DESC, s.vec_id) AS rank FROM embeddings q, embeddings s WHERE q.vec_id = 0 AND s.vec_id <> 0), u AS (SELECT vec_id FROM k WHERE rank <= 10 UNION SELECT vec_id FROM (SELECT vec_id FROM embeddings WHERE label = 4 AND vec_id <> 0 ORDER BY (vec_id % 97) DESC, vec_id LIMIT 5)) SELECT vec_id, round((vec_id % 97) / 97.0, 6) AS importance FROM u ORDER BY vec_id % 97 DESC, vec_id LIMIT 5")
@@ -187,33 +220,61 @@ def l3_hybrid(spark, d):
     return both.orderBy(F.desc(F.col("vec_id") % 97), "vec_id").limit(5).select("vec_id", r6(F.col("vec_id") % 97 / 97.0).alias("importance"))
 
 
-@query("recall_federated", """WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
-l1 AS (SELECT q.query_id, 'l1' AS layer, 1 AS branch, left(c.text, 100) AS key, 0.8 * ((c.conv_id + c.turn) % 10) / 10.0 AS score, length(c.text) AS n FROM q JOIN conversations c ON c.conv_id = q.query_id / 100),
-l2 AS (SELECT q.query_id, 'l2', 2, left(d.text, 100), (d.doc_id % 13) / 13.0, length(d.text) FROM q JOIN documents d ON d.doc_id % 100 = q.query_id / 100 AND d.doc_id % 13 >= 4),
-k AS (SELECT q.query_id, s.vec_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[]), 5) DESC, s.vec_id) AS rank FROM q, embeddings s WHERE s.vec_id <> q.query_id),
-l3 AS (SELECT k.query_id, 'l3', 3, left(d.text, 100), (k.vec_id % 7) / 7.0, length(d.text) FROM k JOIN documents d ON d.doc_id = k.vec_id WHERE rank <= 5),
-u AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3),
-f AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY branch, score DESC, n DESC) AS first FROM u),
+FEDERATED = f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE conv_id % 100 = 0),
+q AS (SELECT conv_id AS query_id, text AS q, {hash_sql('text', 64)} AS v FROM t WHERE r = 1),
+w AS (SELECT query_id, lower(q) AS lq, list_distinct({tokens('q')}) AS qt, list_distinct({grams(tokens('q'))}) AS qg FROM q),
+g AS (SELECT conv_id AS query_id, turn, r, text, lower(text) AS lt, list_distinct({tokens('text')}) AS tt, list_distinct({grams(tokens('text'))}) AS tg FROM t WHERE r BETWEEN 2 AND 5),
+l1 AS (SELECT query_id, 'l1' AS layer, 1 AS branch, text, CASE WHEN r <= 3 THEN 0.8 ELSE 0.6 END * raw AS score, turn AS n FROM (SELECT *, {relevance('lq', 'lt', 'qg', 'tg', 'qt', 'tt')} AS raw FROM g JOIN w USING (query_id)) WHERE raw > 0.05),
+c AS (SELECT q.query_id, s.vec_id, list_cosine_similarity(q.v, s.embedding::DOUBLE[]) AS c FROM q, embeddings s),
+k2 AS (SELECT *, round(0.6 * greatest(0, c) + 0.15 * (vec_id % 10) / 10.0 + 0.15 / (1 + 0.1 * greatest(1, 500 - vec_id % 500)), 5) AS score FROM c),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM k2),
+l2 AS (SELECT query_id, 'l2', 2, d.text, score, vec_id FROM r2 JOIN documents d ON d.doc_id = vec_id WHERE rank <= 5 AND score >= 0.2),
+r3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 5) DESC, vec_id) AS rank FROM c),
+l3 AS (SELECT query_id, 'l3', 3, d.text, {importance('d.text')}, vec_id FROM r3 JOIN documents d ON d.doc_id = vec_id WHERE rank <= 5),
+qw AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(q, '\\s+')) AS name FROM q),
+en AS (SELECT query_id, name, d.text, d.doc_id, {importance('d.text')} AS imp FROM qw JOIN documents d ON split_part(d.text, ' ', 1) = name WHERE name <> ''),
+l4 AS (SELECT query_id, 'l3', 4, text, imp * 0.9, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY round(imp, 6) DESC, doc_id) AS rank FROM en) WHERE rank <= 3),
+u AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4),
+f AS (SELECT *, left(text, 100) AS key, row_number() OVER (PARTITION BY query_id, left(text, 100) ORDER BY branch, round(score, 6) DESC, n) AS first FROM u),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, branch, key) AS rank FROM f WHERE first = 1)
-SELECT query_id, rank::BIGINT AS rank, layer, key, round(score, 6) AS score FROM r WHERE rank <= 5""")
+SELECT query_id, rank::BIGINT AS rank, layer, key, round(score, 6) AS score, (sum(trunc(1.5 * {found('text', '[\\x{2E81}-\\x{10FFFF}]')} + 0.25 * (length(text) - {found('text', '[\\x{2E81}-\\x{10FFFF}]')}))) OVER (PARTITION BY query_id))::BIGINT AS total_tokens FROM r WHERE rank <= 5"""
+
+
+@query("recall_federated", FEDERATED)
 def recall_federated(spark, d):
-    """RC10, PF5, PF6, EM5: layers united, repeated keys kept once in layer order, global top-k."""
-    e, docs = read(spark, d, "embeddings"), read(spark, d, "documents")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
-    key, n = F.substring("text", 1, 100).alias("key"), F.char_length("text").alias("n")
-    layer = lambda name, k, score: [F.lit(name).alias("layer"), F.lit(k).alias("branch"), key, score.alias("score"), n]
-    l1 = read(spark, d, "conversations").join(q, F.col("conv_id") * 100 == F.col("query_id")).select("query_id", *layer("l1", 1, 0.8 * ((F.col("conv_id") + F.col("turn")) % 10) / 10.0))
-    l2 = docs.filter("doc_id % 13 >= 4").join(q, F.col("doc_id") % 100 * 100 == F.col("query_id")).select("query_id", *layer("l2", 2, F.col("doc_id") % 13 / 13.0))
-    near = recall.nearest(e.filter("vec_id % 100 = 0"), e, 5, digits=5).select("query_id", F.col("vec_id").alias("doc_id"))
-    l3 = docs.join(near, "doc_id").select("query_id", *layer("l3", 3, F.col("doc_id") % 7 / 7.0))
-    return recall.federate([l1, l2, l3], 5).select("query_id", "rank", "layer", "key", r6(F.col("score")).alias("score"))
-
-
-@query("embed_hash", "WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents), v AS (SELECT doc_id, list_transform(range(0, 8), lambda i: (('0x' || substr(h, (i * 2 + 1)::INTEGER, 2))::INTEGER)::DOUBLE / 255 * 2 - 1) AS v FROM h) SELECT doc_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS e0, round(v[8] / sqrt(list_inner_product(v, v)), 6) AS e7 FROM v")
+    """RC10, PF5, PF6, EM2, EM5: the newest turn of a conversation asks its session, the slots, the records nearest by hash embedding, and the records of
+    entities that its words name; texts with equal heads are kept once in layer order; with the tokens of what is returned.
+
+    A slot and a record for each vector, with the document of the same id; a document's entity is its first word.
+    """
+    turns, docs, e = read(spark, d, "conversations").filter("conv_id % 100 = 0"), read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "embeddings").select("vec_id", "embedding")
+    tiers = session.tiers(turns, K, M).filter("tier <> 'overflow'")
+    asked = tiers.filter("r = 1").select(F.col("conv_id").alias("query_id"), F.col("text").alias("q"))
+    l1 = recall.layer(session.recall(tiers).join(turns, ["conv_id", "turn"]).select(F.col("conv_id").alias("query_id"), "text", "score", F.col("turn").alias("n")), "l1", 1)
+    vectors = T.with_hash_embedding(asked, "q", 64, "embedding").select(F.col("query_id").alias("vec_id"), "embedding").filter("embedding is not null")
+    slots = e.withColumn("activation", F.col("vec_id") % 10 / 10.0).withColumn("age", 500 - F.col("vec_id") % 500)
+    blank = vectors.withColumn("activation", F.lit(0.0)).withColumn("age", F.lit(0).cast("long"))
+    score = lambda q, s: recall.slot_score(s["score"], s["activation"], s["age"], 0, 0)
+    texts = docs.withColumnRenamed("doc_id", "vec_id")
+    best = recall.search(blank, slots, 5, score, ["activation", "age"], digits=5, itself=True).filter(F.round("score", 5) >= 0.2)
+    l2 = recall.layer(best.join(texts, "vec_id").select("query_id", "text", F.round("score", 5).alias("score"), F.col("vec_id").alias("n")), "l2", 2)
+    near = recall.search(vectors, e, 5, lambda q, r: r["score"], [], digits=5, itself=True).select("query_id", "vec_id")
+    l3 = recall.layer(T.with_importance(near.join(texts, "vec_id"), "text", "score").select("query_id", "text", "score", F.col("vec_id").alias("n")), "l3", 3)
+    named = asked.select("query_id", F.explode(F.array_distinct(F.split("q", r"\s+"))).alias("name")).filter("name <> ''").join(docs.withColumn("name", F.split_part("text", F.lit(" "), F.lit(1))), "name")
+    ranked = T.with_importance(named, "text", "imp").withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "name").orderBy(F.desc(r6(F.col("imp"))), "doc_id")))
+    l4 = recall.layer(ranked.filter("rank <= 3").select("query_id", "text", (F.col("imp") * 0.9).alias("score"), F.col("doc_id").alias("n")), "l3", 4)
+    out = recall.federate([l1, l2, l3, l4], 5).withColumn("total_tokens", F.sum(T.token_estimate(F.col("text"))).over(Window.partitionBy("query_id")))
+    return out.select("query_id", "rank", "layer", "key", r6(F.col("score")).alias("score"), "total_tokens")
+
+
+EMBED_SQL = f"SELECT doc_id, {hash_sql('text', 64)} AS v FROM documents"
+
+
+@query("embed_hash", f"WITH v AS ({EMBED_SQL}) SELECT doc_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS e0, round(v[8] / sqrt(list_inner_product(v, v)), 6) AS e7, round(v[40] / sqrt(list_inner_product(v, v)), 6) AS e39 FROM v")
 def embed_hash(spark, d):
-    """EM1, EM2."""
-    v = read(spark, d, "documents").select("doc_id", T.hash_embedding(F.col("text"), 8).alias("v"))
-    return v.select("doc_id", r6(F.col("v")[0]).alias("e0"), r6(F.col("v")[7]).alias("e7"))
+    """EM1, EM2: 64 numbers of 32 bytes, so that the period shows."""
+    v = T.with_hash_embedding(read(spark, d, "documents").select("doc_id", "text"), "text", 64, "v")
+    return v.select("doc_id", *(r6(F.col("v")[i]).alias(f"e{i}") for i in (0, 7, 39)))
 
 
 # ---- store --------------------------------------------------------------------------------------------------------
@@ -229,11 +290,19 @@ def l3_access_log(spark, d):
     return store.access_counts(read(spark, d, "events").filter("event_type = 'view'"), "user_id", "event_id")
 
 
-@query("l3_archive", "SELECT event_id, value FROM events e WHERE NOT EXISTS (SELECT 1 FROM events t WHERE t.event_type = 'error' AND t.event_id = e.event_id + 1)")
+@query("l3_record", "SELECT p_partkey AS id, p_brand || '|' || p_type AS entities, p_size > 25 AS archived FROM part WHERE p_partkey = 77")
+def l3_record(spark, d):
+    """IO7, PF9: one record by its id, its JSON as a list and its integer as a flag."""
+    stored = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.to_json(F.array("p_brand", "p_type")).alias("entities"), (F.col("p_size") > 25).cast("int").alias("archived"))
+    return store.records_view(stored.filter("id = 77")).withColumn("entities", F.array_join("entities", "|"))
+
+
+@query("l3_archive", "SELECT event_id, value, t.by AS superseded_by, t.by IS NULL AS live FROM events e LEFT JOIN (SELECT event_id - 1 AS id, event_id AS by FROM events WHERE event_type = 'error') t ON t.id = e.event_id WHERE event_type <> 'login'")
 def l3_archive(spark, d):
-    """RC12, PF1, PF2: rows without a tombstone."""
+    """RC12, PF1, PF2: rows outside one namespace (event types stand for these), archived by a tombstone that names their successor."""
     e = read(spark, d, "events")
-    return store.live(e, e.filter("event_type = 'error'").select((F.col("event_id") - 1).alias("event_id")), "event_id").select("event_id", "value")
+    dead = e.filter("event_type = 'error'").select((F.col("event_id") - 1).alias("event_id"), F.col("event_id").alias("superseded_by"))
+    return store.archived(e.filter("event_type <> 'login'").select("event_id", "value"), dead, "event_id")
 
 
 @query("l3_time_search", "SELECT event_id, user_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06' ORDER BY ts DESC, event_id LIMIT 50")
@@ -242,19 +311,19 @@ def l3_time_search(spark, d):
     return read(spark, d, "events").filter("ts between timestamp_ntz '2024-01-05' and timestamp_ntz '2024-01-06'").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id")
 
 
-@query("l3_entity_search", "SELECT utt_key, importance FROM (SELECT p_partkey AS utt_key, [p_brand, p_type] AS entities, round(p_retailprice, 2) AS importance FROM part) WHERE len(list_filter(entities, lambda x: lower(x) = 'brand#2')) > 0 ORDER BY importance DESC, utt_key LIMIT 10")
+@query("l3_entity_search", "WITH r AS (SELECT p_partkey AS utt_key, to_json([p_brand, p_type])::VARCHAR AS entities, round(p_retailprice, 2) AS importance, pattern FROM part, (SELECT unnest(['brand#2', 'Brand#_', '%BRASS']) AS pattern)), k AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY importance DESC, utt_key) AS rank FROM r WHERE entities ILIKE '%\"' || pattern || '\"%') SELECT pattern, utt_key, importance FROM k WHERE rank <= 10")
 def l3_entity_search(spark, d):
-    """PF4, RC7."""
+    """PF4, RC7: containment in the JSON text, in any case, with the wildcards of an entity alive; ten for each."""
     rows = read(spark, d, "part").select(F.col("p_partkey").alias("utt_key"), F.array("p_brand", "p_type").alias("entities"), F.round("p_retailprice", 2).alias("importance"))
-    return rows.filter(F.exists("entities", lambda x: F.lower(x) == "brand#2")).orderBy(F.desc("importance"), "utt_key").limit(10).select("utt_key", "importance")
+    return store.search_entities(rows, ["brand#2", "Brand#_", "%BRASS"], 10).select("pattern", "utt_key", "importance")
 
 
 @query("l3_snapshot_latest", "WITH s AS (SELECT user_id, max(event_id) AS step FROM events GROUP BY user_id), x AS (SELECT e.user_id, e.event_id AS step, e.event_type, e.value FROM events e JOIN s ON e.user_id = s.user_id AND e.event_id = s.step) SELECT user_id, step, event_type AS topic, round(value * pow(0.95::DOUBLE, 2), 6) AS activation FROM x")
 def l3_snapshot_latest(spark, d):
-    """IO11-IO14: newest snapshot as JSON, restored with a cold-start decay of 60 s."""
+    """IO11-IO14: newest snapshot as JSON, restored to its number of slots with a cold-start decay of 60 s."""
     snapshots = read(spark, d, "events").select("user_id", F.col("event_id").alias("step"), F.to_json(F.array(F.struct(F.col("event_type").alias("topic"), F.col("value").alias("activation")))).alias("slots_json"))
     newest = store.newest_snapshot(snapshots, "user_id", "step", "slots_json")
-    return store.restore(newest, "slots_json", "topic string, activation double", elapsed=60.0).select("user_id", "step", "topic", r6(F.col("activation")).alias("activation"))
+    return store.restore(newest, "slots_json", "topic string, activation double", elapsed=60.0, slots=1).select("user_id", "step", "topic", r6(F.col("activation")).alias("activation"))
 
 
 # ---- feedback -----------------------------------------------------------------------------------------------------
@@ -266,15 +335,22 @@ def feedback_positive(spark, d):
     return e.filter("event_type = 'click'").join(recalled, "user_id", "left_semi").groupBy("user_id").agg(F.min("event_id").alias("event_id")).withColumn("target", F.lit(1.0))
 
 
-@query("feedback_negative", "SELECT e.user_id, e.event_id, 0.0 AS target, 0.006 AS rate FROM events e WHERE e.event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'view' AND r.user_id = e.user_id AND r.event_id BETWEEN e.event_id - 500 AND e.event_id)")
+@query("feedback_negative", "SELECT e.user_id, e.event_id, 0.0 AS target, 0.006 AS rate FROM events e WHERE e.event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'view' AND r.user_id = e.user_id AND r.event_id < e.event_id)")
 def feedback_negative(spark, d):
-    """LG20, LG21: an eviction that no recall came before is a negative sample at a reduced rate."""
+    """LG20: an eviction that no recall of its slot came before is a negative sample at 0.3 of the rate."""
     e = read(spark, d, "events")
-    bucket = lambda c: F.floor(c / 500)  # noqa: E731  equi-join on the bucket, then the range
-    seen = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("r"), F.explode(F.array(bucket(F.col("event_id")), bucket(F.col("event_id")) + 1)).alias("b"))
-    evicted = e.filter("event_type = 'error'").select("user_id", "event_id", bucket(F.col("event_id")).alias("b"))
-    met = (evicted["user_id"] == seen["user_id"]) & (evicted["b"] == seen["b"]) & F.col("r").between(F.col("event_id") - 500, F.col("event_id"))
-    return evicted.join(seen, met, "left_anti").select("user_id", "event_id", F.lit(0.0).alias("target"), F.lit(0.006).alias("rate"))
+    first = e.filter("event_type = 'view'").groupBy("user_id").agg(F.min("event_id").alias("first"))
+    evicted = e.filter("event_type = 'error'").select("user_id", "event_id").join(first, "user_id", "left")
+    return evicted.filter("first is null or event_id < first").select("user_id", "event_id", F.lit(0.0).alias("target"), F.lit(0.006).alias("rate"))
+
+
+@query("feedback_log", "WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, row_number() OVER (PARTITION BY user_id, length(event_type) > 5 ORDER BY event_id DESC) AS m FROM events) SELECT user_id, count(*) FILTER (WHERE n <= 500) AS held, count(*) FILTER (WHERE m <= 20 AND length(event_type) > 5) AS topics, min(event_id) FILTER (WHERE n <= 500) AS oldest FROM r GROUP BY user_id")
+def feedback_log(spark, d):
+    """LG18: the log of each slot holds 500 predictions, and 20 topics of over five characters."""
+    topic = F.char_length("event_type") > 5
+    newest = lambda *by: F.row_number().over(Window.partitionBy("user_id", *by).orderBy(F.desc("event_id")))
+    r = read(spark, d, "events").select("user_id", "event_id", topic.alias("topic")).withColumn("n", newest()).withColumn("m", newest("topic"))
+    return r.groupBy("user_id").agg(F.count_if(F.col("n") <= 500).alias("held"), F.count_if((F.col("m") <= 20) & F.col("topic")).alias("topics"), F.min(F.when(F.col("n") <= 500, F.col("event_id"))).alias("oldest"))
 
 
 @query("state_replay")
