@@ -496,6 +496,7 @@ def classes(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int
         # lists with the same first member side by side: most of a pair's lists meet, and the pair is proposed once
         lists = lists.repartition("lead", "deal").sortWithinPartitions("lead", "deal", "part", "list", "n", "sid").drop("lead", "deal")
         proposed = scratch.write(_across(lists, num, den, best).distinct(), f"proposed-{name}")
+        del lists  # else its shuffle files stay
         release(spark)
         found = found.union(_verify(proposed, reps, facts, num, den, scratch, name))
         scratch.drop(f"rough-{name}")
@@ -513,7 +514,10 @@ def classes(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int
         rooted = rooted.join(linked, "class", "left")
         extra = [(F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links")]
     least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "component").select("rid", "doc_id", "n_shingles", "component", "component_id", *extra)
+    done = scratch.write(rooted.join(least, "component").select("rid", "doc_id", "n_shingles", "component", "component_id", *extra), "done")
+    for name in ("facts", "classes", "roots", *(["linked"] if links else [])):
+        scratch.drop(name)  # a few numbers a document stay, not its set
+    return done
 
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:

@@ -310,6 +310,7 @@ def find_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, window:
     dealt = docs.select("rid", "text").mapInArrow(anchors, "h long, sure boolean, rid long, at long").repartition("h").sortWithinPartitions("h")
     live = scratch.write(dealt.mapInArrow(shared, "h long, sure boolean, rid long, at long").select("rid", "at"), "anchors")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), live.count() // PART_ANCHORS, 1)
+    del dealt  # else its shuffle files stay
     release(spark)
     places = live.groupBy("rid").agg(F.sort_array(F.collect_list("at")).alias("at"))
 
@@ -348,6 +349,7 @@ def find_ranges(docs: DataFrame, scratch: Scratch, length: int = LENGTH, window:
 
     spans = scratch.write(sent.groupBy("part").applyInArrow(merge, "rid long, start long, end long"), "spans")
     scratch.drop("anchors")
+    del sent, places, live
     release(spark)
     return spans
 
@@ -405,6 +407,7 @@ def with_passages(docs: DataFrame, words: int, length: int = LENGTH) -> DataFram
     spark = docs.sparkSession
     rows = docs.select("rid", "text")
     by_word = find_word_ranges(rows, Scratch(spark, "passages"), words)
+    release(spark)
     by_byte = find_ranges(rows, Scratch(spark, "suffixes"), length, length // 2)
     both = by_word.withColumn("unit", F.lit("words")).unionByName(by_byte.withColumn("unit", F.lit("bytes")))
     own = lambda unit: F.collect_list(F.when(F.col("unit") == unit, F.array("start", "end"))).alias(unit)
