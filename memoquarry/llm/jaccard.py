@@ -47,6 +47,8 @@ COMMON_MOST = 1 << 20
 CHUNK_BYTES = 8 << 20
 #: Bytes of the short parity map that list members carry.
 BRIEF = 32
+#: Ids that are broadcast at most (8 bytes each).
+SENT_IDS = 1 << 18
 #: Pairs that a task holds to drop their repeats (16 bytes each) before it emits them.
 HELD_PAIRS = 1 << 19
 
@@ -327,8 +329,10 @@ def _verify(pairs: DataFrame, reps: DataFrame, facts: DataFrame, num: int, den:
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["ca", "cb"])
 
     likely = scratch.write(met.select("ca", "cb", "na", "nb", "pa", "pb").mapInArrow(prune, "ca long, cb long").distinct(), f"likely-{name}")
-    wanted = likely.select(F.col("ca").alias("rid")).union(likely.select("cb")).distinct()
-    sets = scratch.write(facts.select("rid", "set").join(wanted, "rid", "left_semi"), f"sets-{name}")
+    wanted = scratch.write(likely.select(F.col("ca").alias("rid")).union(likely.select("cb")).distinct(), f"wanted-{name}")
+    # few ids are sent to the sets, so that these are not shuffled; beyond that size both meet by shuffle
+    few = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
+    sets = scratch.write(facts.select("rid", "set").join(few, "rid", "left_semi"), f"sets-{name}")
     joined = likely.join(sets.select(F.col("rid").alias("cb"), F.col("set").alias("other")), "cb").join(sets.select(F.col("rid").alias("ca"), "set"), "ca")
 
     def compare(batches):
@@ -338,7 +342,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, facts: DataFrame, num: int, den:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     links = scratch.write(joined.select("ca", "cb", "set", "other").mapInArrow(compare, "a long, b long"), f"links-{name}")
-    for part in ("likely", "sets", "proposed"):
+    for part in ("likely", "wanted", "sets", "proposed"):
         scratch.drop(f"{part}-{name}")
     return links
 
@@ -396,7 +400,10 @@ def _links(roots: DataFrame, reps: DataFrame, facts: DataFrame, num: int, den: i
     """(class, linked): the documents of other classes that a class links with.  ``roots``: (node, root) of components of two classes or more."""
     members = roots.select(F.col("node").alias("class"), "root").union(roots.select("root", "root").distinct())
     count = members.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    sets = facts.select(F.col("rid").alias("class"), "set")
+    members = scratch.write(members, "members-of")
+    few = members.select(F.col("class").alias("rid"))
+    few = F.broadcast(few) if members.count() <= SENT_IDS else few
+    sets = scratch.write(facts.select("rid", "set").join(few, "rid", "left_semi").select(F.col("rid").alias("class"), "set"), "sets-of")
     rows = members.join(reps.select("class", "n", "copies"), "class").join(sets, "class")
     rows = rows.join(count, "root").join(sets.select(F.col("class").alias("root"), F.col("set").alias("pivot")), "root")
 
@@ -515,7 +522,7 @@ def classes(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int
         extra = [(F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links")]
     least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     done = scratch.write(rooted.join(least, "component").select("rid", "doc_id", "n_shingles", "component", "component_id", *extra), "done")
-    for name in ("facts", "classes", "roots", *(["linked"] if links else [])):
+    for name in ("facts", "classes", "roots", *(["linked", "members-of", "sets-of"] if links else [])):
         scratch.drop(name)  # a few numbers a document stay, not its set
     return done
 
