@@ -15,7 +15,7 @@ STAGES = [
     ("packing", stages.pack),
 ]
 
-#: Exact longest-match and packing order have no practical SQL form; tests cover the stages and operators one by one, run() as a whole not yet.
+#: Exact longest-match and packing order have no practical SQL form; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
