@@ -112,7 +112,7 @@ def with_context(turns: DataFrame) -> DataFrame:
     bare = (size == 0) | (F.col("before") == 0)
     many = lambda n: F.size(F.filter("seen", lambda x: x >= n))
     features = [
-        F.element_at("overlaps", -1), F.col("mean"), T.flag(F.col("mean") < 0.1), F.least(F.size(F.filter("overlaps", lambda x: x > 0.3)) / 3.0, F.lit(1.0)),
+        F.element_at("overlaps", -1), F.col("mean"), T.flag(F.round("mean", 9) < 0.1), F.least(F.size(F.filter("overlaps", lambda x: x > 0.3)) / 3.0, F.lit(1.0)),
         F.least(F.col("before") / float(TOPICS), F.lit(1.0)), many(2) / size, F.least(F.size(F.array_distinct("last5")) / 50.0, F.lit(1.0)), T.flag(many(3) > 0),
     ]
     zeros = F.array(*[F.lit(0.0)] * 8)

@@ -323,7 +323,7 @@ p AS (SELECT k.conv_id, k.turn, k.t, k.before, list(o.t ORDER BY o.turn DESC) FI
   FROM k LEFT JOIN k o ON o.conv_id = k.conv_id AND o.turn < k.turn AND length(o.text) > 5 AND k.before - o.before <= 5 GROUP BY k.conv_id, k.turn, k.t, k.before),
 o AS (SELECT *, list_transform(coalesce(last3, []), lambda x: len(list_intersect(t, x))::DOUBLE / greatest(len(t), 1)) AS shares, coalesce(len(t), 0) = 0 OR before = 0 AS bare FROM p),
 m AS (SELECT *, CASE WHEN len(shares) > 0 THEN list_sum(shares) / len(shares) ELSE 0 END AS mean3, list_transform(t, lambda w: len(list_filter(last5, lambda x: (x = w)))) AS seen FROM o)
-SELECT conv_id, turn, round(CASE WHEN bare THEN 0 ELSE shares[1] END, 6) AS f0, round(CASE WHEN bare THEN 0 ELSE mean3 END, 6) AS f1, CASE WHEN NOT bare AND mean3 < 0.1 THEN 1.0 ELSE 0.0 END::DOUBLE AS f2,
+SELECT conv_id, turn, round(CASE WHEN bare THEN 0 ELSE shares[1] END, 6) AS f0, round(CASE WHEN bare THEN 0 ELSE mean3 END, 6) AS f1, CASE WHEN NOT bare AND round(mean3, 9) < 0.1 THEN 1.0 ELSE 0.0 END::DOUBLE AS f2,
   round(CASE WHEN bare THEN 0 ELSE least(len(list_filter(shares, lambda x: x > 0.3)) / 3.0, 1) END, 6) AS f3, round(CASE WHEN bare THEN 0 ELSE least(before / 20.0, 1) END, 6) AS f4,
   round(CASE WHEN bare THEN 0 ELSE len(list_filter(seen, lambda x: x >= 2))::DOUBLE / len(t) END, 6) AS f5, round(CASE WHEN bare THEN 0 ELSE least(len(list_distinct(last5)) / 50.0, 1) END, 6) AS f6, CASE WHEN NOT bare AND len(list_filter(seen, lambda x: x >= 3)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS f7 FROM m"""
 
