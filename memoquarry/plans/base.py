@@ -27,6 +27,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a few row groups to all cores, ahead of work on texts that costs far more than to move them.
+
+    A scan with two splits or more for each core, as large tables have, stays as it is and is not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 2 * cores else rows.repartition(2 * cores)
+
+
 def r6(x: Column) -> Column:
     return F.round(x, 6)
 
@@ -62,4 +71,4 @@ UTTERANCES_SQL = UTTERANCES.format(**{t: t for t in STARS})
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(utt_id, ns, text)."""
-    return spark.sql(UTTERANCES, **{t: read(spark, sf_dir, t) for t in STARS})
+    return spread(spark.sql(UTTERANCES, **{t: read(spark, sf_dir, t) for t in STARS}))

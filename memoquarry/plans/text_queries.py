@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memoquarry.functions import lexicons as L
 from memoquarry.functions import text as T
 from memoquarry.operators import learned, recall
-from memoquarry.plans.base import UTTERANCES_SQL, query, r6, read, utterances
+from memoquarry.plans.base import UTTERANCES_SQL, query, r6, read, spread, utterances
 
 
 # ---- pieces of SQL, written from the formulas in DuckDB's dialect -------------------------------------------------
@@ -116,7 +116,7 @@ def spans(x: str) -> str:
 @query("text_tokenize", f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct, array_to_string(t[1:5], ' ') AS first_tokens FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)")
 def text_tokenize(spark, d):
     """TX1, TX3, TX4."""
-    t = read(spark, d, "documents").select("doc_id", T.tokenize(F.lower("text")).alias("t"))
+    t = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.tokenize(F.lower("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_join(F.slice("t", 1, 5), " ").alias("first_tokens"))
 
 
@@ -137,7 +137,7 @@ def text_ngrams(spark, d):
 @query("text_key_facts", f"SELECT doc_id, len(f)::BIGINT AS n_facts, coalesce(f[1], '') AS first_fact FROM (SELECT doc_id, {facts('text')} AS f FROM documents)")
 def text_key_facts(spark, d):
     """TX8, TX9, PF11."""
-    f = read(spark, d, "documents").select("doc_id", T.key_facts(F.col("text")).alias("f"))
+    f = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.key_facts(F.col("text")).alias("f"))
     return f.select("doc_id", F.size("f").cast("long").alias("n_facts"), F.coalesce(F.try_element_at("f", F.lit(1)), F.lit("")).alias("first_fact"))
 
 
@@ -153,14 +153,14 @@ def text_entities(spark, d):
 @query("text_patterns", "SELECT source, " + ", ".join(f"sum({flag(kind('text', k))})::BIGINT AS n_{k}" for k in L.STRUCTURE) + " FROM documents GROUP BY source")
 def text_patterns(spark, d):
     """TX7."""
-    rows = read(spark, d, "documents").select("source", "text", F.lower("text").alias("low"))
+    rows = spread(read(spark, d, "documents").select("source", "text")).withColumn("low", F.lower("text"))
     return rows.groupBy("source").agg(*(F.sum(T.flag(c)).cast("long").alias(f"n_{k}") for k, c in T.structured(F.col("text"), F.col("low")).items()))
 
 
 @query("text_density", f"SELECT doc_id, round({density('text')}, 6) AS density FROM documents")
 def text_density(spark, d):
     """TX12."""
-    rows, p = T.Parts.of(read(spark, d, "documents").select("doc_id", "text"))
+    rows, p = T.Parts.of(spread(read(spark, d, "documents").select("doc_id", "text")))
     return rows.select("doc_id", r6(T.density(p)).alias("density"))
 
 
@@ -223,7 +223,7 @@ def text_relevance_topk(spark, d):
 
     The passages are a stated query set: they meet the documents in blocks of checked size, and a task keeps five for each.
     """
-    top = recall.most_relevant(with_grams(read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")), with_grams(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")), 5)
+    top = recall.most_relevant(with_grams(read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")), with_grams(spread(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))), 5)
     chosen = read(spark, d, "documents").select("doc_id", "text").join(top.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
     weight = T.with_importance(chosen).select("doc_id", r6(F.col("importance")).alias("importance"))
     return top.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), F.col("score").alias("relevance")).join(weight, "doc_id").select("item_id", "rank", "doc_id", "relevance", "importance")
