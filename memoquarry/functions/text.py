@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memoquarry.functions import lexicons as L
+from memoquarry.functions.patterns import by_head
 
 TOKEN = rf"(?:[a-z0-9]++|[\p{{L}}\p{{N}}&&[^{L.CJK}]])+|[{L.CJK}]"
 #: White space and what separates words but is neither letter nor digit.
@@ -20,11 +21,11 @@ NOT_ALNUM = r"[^\p{L}\p{N}\s\x1c-\x1f\x{85}\p{Z}]"
 
 
 def has(low: Column, pattern: str) -> Column:
-    return F.regexp_like(low, F.lit(pattern))
+    return F.regexp_like(low, F.lit(by_head(pattern)))
 
 
 def hits(low: Column, pattern: str) -> Column:
-    return F.regexp_count(low, F.lit(pattern))
+    return F.regexp_count(low, F.lit(by_head(pattern)))
 
 
 def flag(condition: Column) -> Column:
@@ -88,7 +89,7 @@ def key_facts(text: Column) -> Column:
 def raw_entities(text: Column) -> Column:
     """TX10: capitalised words, technology names, names after a marker, with repeats."""
     capital = F.filter(F.regexp_extract_all(text, F.lit(r"([A-Z][a-zA-Z0-9]+(?:[.-][a-zA-Z0-9]+)*)"), F.lit(1)), lambda w: ~F.lower(w).isin(L.STOP_EN))
-    tech = F.regexp_extract_all(text, F.lit(f"(?i)({L.TECH})"), F.lit(1))
+    tech = F.regexp_extract_all(text, F.lit(f"(?i)({by_head(L.TECH)})"), F.lit(1))
     names = F.regexp_extract_all(text, F.lit(r"(?:叫|是|找|问|联系|@)\s*([\x{4E00}-\x{9FA5}]{2,4})"), F.lit(1))
     return F.concat(capital, tech, names)
 
