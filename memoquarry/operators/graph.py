@@ -94,17 +94,26 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int, fan: int = 50,
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 4) -> DataFrame:
-    """(start, goal, length, path): the first shortest path in name order, as triples node, type, node; a start that is its goal has length 0."""
+    """(start, goal, length, path): the first shortest path in name order, as triples node, type, node; a start that is its goal has length 0.
+
+    The search begins at the side with fewer distinct ends (backwards from the goals if these are as few) and keeps one path for each of them and
+    each node that is met, so neither the pairs nor the edges that lead away from them multiply.
+    """
     first = edges.groupBy("src", "dst").agg(F.min("type").alias("type"))
-    front = pairs.select("start", "goal", F.col("start").alias("node"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("path"))
-    found = front.filter("start = goal")
-    front = front.filter("start <> goal")
+    pairs = pairs.select("start", "goal").distinct()
+    ends = pairs.agg(F.count_distinct("start").alias("starts"), F.count_distinct("goal").alias("goals")).first()
+    back = ends["goals"] <= ends["starts"]
+    root, near, far = ("goal", "dst", "src") if back else ("start", "src", "dst")
+    met = F.array(F.col(far)), F.array(F.concat_ws(" ", "src", "type", "dst"))
+    grown = [F.concat(*((new, old) if back else (old, new))).alias(name) for name, old, new in zip(("nodes", "path"), ("nodes", "path"), met)]
+    front = pairs.select(F.col(root).alias("root")).distinct().select("root", F.col("root").alias("node"), F.array("root").alias("nodes"), F.array().cast("array<string>").alias("path"))
+    found = front
     for _ in range(hops):
-        step = front.join(first, front["node"] == first["src"]).filter(~F.array_contains("nodes", F.col("dst")))
-        step = step.select("start", "goal", F.col("dst").alias("node"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("path", F.array(F.concat_ws(" ", "src", "type", "dst"))).alias("path"))
-        step = step.groupBy("start", "goal", "node").agg(F.min(F.struct("nodes", "path")).alias("x")).select("start", "goal", "node", "x.*")  # one way to each node is enough
-        found = found.unionByName(step.filter("node = goal"))
-        front = step.filter("node <> goal")
+        step = front.join(first, front["node"] == first[near]).filter(~F.array_contains("nodes", F.col(far))).select("root", F.col(far).alias("node"), *grown)
+        # one way from a root to a node is enough
+        front = step.groupBy("root", "node").agg(F.min(F.struct("nodes", "path")).alias("x")).select("root", "node", "x.*")
+        found = found.unionByName(front)
+    found = found.select(F.col("root").alias(root), F.col("node").alias("start" if back else "goal"), "nodes", "path").join(pairs, ["start", "goal"])
     best = Window.partitionBy("start", "goal").orderBy(F.size("path"), "nodes")
     return found.withColumn("r", F.row_number().over(best)).filter("r = 1").select("start", "goal", F.size("path").cast("long").alias("length"), F.array_join("path", "; ").alias("path"))
 
