@@ -4,8 +4,11 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from memoquarry.operators import graph
+from memoquarry import catalogue
+from memoquarry.functions import text as T
+from memoquarry.operators import graph, recall
 
 
 def shuffled(spark, job) -> int:
@@ -56,3 +59,35 @@ def test_paths_from_either_side_are_the_first_in_name_order(spark, starts, goals
     edges = spark.createDataFrame([(a, b, t) for a, b in pairs for t in "tu"], "src string, dst string, type string")
     asked = spark.createDataFrame(list(itertools.product(starts, goals)), "start string, goal string")
     assert {(r.start, r.goal): (r.length, r.path) for r in graph.shortest_paths(edges, asked).collect()} == want
+
+
+def test_a_record_that_many_queries_name_is_scored_once(spark, tmp_path, monkeypatch):
+    """40 queries name the entity of the same 50 documents: 50 scores for them, and one for each of the 5 nearest of a query."""
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([(100 * i, t, "user", f"Zebra {'asks' if t else 'says'} {i}") for i in range(40) for t in range(2)], "conv_id long, turn long, role string, text string", "conversations")
+    write([(i, f"Zebra number {i}") for i in range(50)], "doc_id long, text string", "documents")
+    write([(i, [float((i * j) % 7 - 3) for j in range(64)]) for i in range(50)], "vec_id long, embedding array<float>", "embeddings")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df, text, name):
+        @F.udf("double")
+        def score(t):
+            seen.add(1)
+            return 0.5 + int(t.split()[-1]) / 1000
+
+        return df.withColumn(name, score(text))
+
+    monkeypatch.setattr(T, "with_importance", counted)
+    got = catalogue.QUERIES["recall_federated"](spark, str(tmp_path)).collect()
+    assert seen.value <= 50 + 5 * 40
+    assert len(got) == 5 * 40 and {r.query_id for r in got} == {100 * i for i in range(40)}
+
+
+def test_nearest_rows_with_many_ties_and_bad_numbers(spark):
+    """Ties at the k-th place go to smaller ids, whatever the order of the rows; a vector that holds no number is never near."""
+    rows = [(i, [1.0, 0.0]) for i in range(99, 9, -1)] + [(5, [0.0, 1.0]), (6, [float("nan"), 1.0]), (7, [1.0, 0.001])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = recall.nearest(frame.filter("vec_id in (5, 20)"), frame, 3).orderBy("query_id", F.desc("score"), "vec_id").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(5, 7), (5, 10), (5, 11), (20, 10), (20, 11), (20, 12)]
+    few = frame.filter("vec_id in (5, 6, 7)")
+    assert {(r.query_id, r.vec_id) for r in recall.nearest(few.filter("vec_id = 5"), few, 3).collect()} == {(5, 7)}
