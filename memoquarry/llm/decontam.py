@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoquarry.llm.common import binaries, ragged, tune
+from memoquarry.llm.common import binaries, lean, ragged, tune
 
 WINDOW = 10
 STEP = 8
@@ -270,7 +270,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
             if held:
                 yield from flush(held)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(lean(run), out.schema)
     return out
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoquarry.llm.common import Hashes, Scratch, binaries, keyed, mix, ragged, release, tune
+from memoquarry.llm.common import Hashes, Scratch, binaries, keyed, lean, mix, ragged, release, tune
 
 WORDS = 4
 NUMERATOR, DENOMINATOR = 85, 100
@@ -114,7 +114,7 @@ def _facts(docs: DataFrame, words: int) -> DataFrame:
             low, high = (np.array([d >> k & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64) for k in (0, 64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(low), pa.array(high), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([brief(x).tobytes() for x in bits], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "n", "sid", "sid2", "parity", "brief", "set"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, n long, sid long, sid2 long, parity binary, brief binary, set binary")
+    return docs.select("rid", "text").mapInArrow(lean(run), "rid long, n long, sid long, sid2 long, parity binary, brief binary, set binary")
 
 
 def common_shingles(facts: DataFrame, total: int) -> np.ndarray:
@@ -137,7 +137,7 @@ def common_shingles(facts: DataFrame, total: int) -> np.ndarray:
         if held:
             yield flush()
 
-    counted = facts.select("set").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = facts.select("set").mapInArrow(lean(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     often = counted.filter(F.col("n") >= max(2, int(COMMON * total))).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST)
     return np.sort(often.select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
 
@@ -177,7 +177,7 @@ def _entries(facts: DataFrame, common: np.ndarray, ranges: int, num: int, den: i
         if held:
             yield flush()
 
-    return facts.select("sid", "set").mapInArrow(run, "part int, entries binary")
+    return facts.select("sid", "set").mapInArrow(lean(run), "part int, entries binary")
 
 
 def _lists(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -220,7 +220,7 @@ def _neighbours(members: DataFrame, num: int, den: int) -> DataFrame:
             near = np.flatnonzero((part[1:] == part[:-1]) & (number[1:] == number[:-1]) & _possible(size[1:], pos[1:], size[:-1], pos[:-1], num, den)) if len(part) > 1 else np.zeros(0, np.int64)
             yield _pairs_frame(_distinct_pairs(sid[near], sid[near + 1]))
 
-    return members.select("part", "list", "sid", "n", "pos").mapInArrow(run, "a long, b long").distinct()
+    return members.select("part", "list", "sid", "n", "pos").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _memberships(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -313,7 +313,7 @@ def _across(members: DataFrame, num: int, den: int, best: bool = False) -> DataF
                 right.append(sid[s + b])
         return _distinct_pairs(np.concatenate(left), np.concatenate(right))
 
-    return members.mapInArrow(run, "a long, b long")
+    return members.mapInArrow(lean(run), "a long, b long")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, facts: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
@@ -328,7 +328,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, facts: DataFrame, num: int, den:
             both = np.array([(min(x, y), max(x, y)) for x, y, k in zip(d["ca"], d["cb"], keep) if k], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["ca", "cb"])
 
-    likely = scratch.write(met.select("ca", "cb", "na", "nb", "pa", "pb").mapInArrow(prune, "ca long, cb long").distinct(), f"likely-{name}")
+    likely = scratch.write(met.select("ca", "cb", "na", "nb", "pa", "pb").mapInArrow(lean(prune), "ca long, cb long").distinct(), f"likely-{name}")
     wanted = scratch.write(likely.select(F.col("ca").alias("rid")).union(likely.select("cb")).distinct(), f"wanted-{name}")
     # few ids are sent to the sets, so that these are not shuffled; beyond that size both meet by shuffle
     few = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
@@ -341,7 +341,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, facts: DataFrame, num: int, den:
             keep = pa.array([overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least_overlap(len(x) // 8, len(y) // 8, num, den) for x, y in zip(own, other)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    links = scratch.write(joined.select("ca", "cb", "set", "other").mapInArrow(compare, "a long, b long"), f"links-{name}")
+    links = scratch.write(joined.select("ca", "cb", "set", "other").mapInArrow(lean(compare), "a long, b long"), f"links-{name}")
     for part in ("likely", "wanted", "sets", "proposed"):
         scratch.drop(f"{part}-{name}")
     return links
@@ -412,7 +412,7 @@ def _links(roots: DataFrame, reps: DataFrame, facts: DataFrame, num: int, den: i
             diffs = [np.setxor1d(np.frombuffer(s, np.uint64), np.frombuffer(p, np.uint64), assume_unique=True).tobytes() for s, p in zip(b.column(5).to_pylist(), b.column(6).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(diffs, pa.binary())], names=["root", "class", "members", "n", "copies", "diff"])
 
-    diffs = rows.select("root", "class", "members", "n", "copies", "set", "pivot").mapInArrow(differ, "root long, class long, members long, n long, copies long, diff binary")
+    diffs = rows.select("root", "class", "members", "n", "copies", "set", "pivot").mapInArrow(lean(differ), "root long, class long, members long, n long, copies long, diff binary")
     blocks = F.least(F.ceil(F.col("members") / BLOCK_MEMBERS), F.lit(BLOCKS)).cast("int")
     dealt = diffs.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -439,7 +439,7 @@ def _links(roots: DataFrame, reps: DataFrame, facts: DataFrame, num: int, den: i
         if held and (frame := flush()):
             yield frame
 
-    counted = met.mapInArrow(count_pairs, "class long, linked long")
+    counted = met.mapInArrow(lean(count_pairs), "class long, linked long")
     return counted.groupBy("class").agg(F.sum("linked").alias("linked"))
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoquarry.llm.common import Scratch, keyed, mix, tune
+from memoquarry.llm.common import Scratch, keyed, lean, mix, tune
 from memoquarry.llm.tokens import byte_symbols
 
 LENGTH = 1024
@@ -119,7 +119,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(3).take(at), pa.array(key, pa.int64()).take(at), pa.array([len(ids[i]) for i, _ in runs], pa.int64()), pa.array([s for _, s in runs], pa.int64()), pa.array([len(x) for x in pieces], pa.int64()), pa.array([x.astype(kind).tobytes() for x in pieces], pa.binary())], names=["rid", "doc_id", "salt", "curve", "doc_tokens", "start", "n", "ids"])
 
     rows = docs.select("rid", "doc_id", "text", F.xxhash64("doc_id", "text").alias("salt"))
-    return rows.mapInArrow(run, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, salt long, curve long, doc_tokens long, start long, n long, ids binary")
+    return rows.mapInArrow(lean(run), f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, salt long, curve long, doc_tokens long, start long, n long, ids binary")
 
 
 def cuts(total: int, length: int) -> list[int]:
@@ -187,7 +187,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, keep_ids: bool = True
             yield emit(out)
 
     schema = f"doc_id {id_kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed.select("doc_id", "doc_tokens", "start", "ids").mapInArrow(run, schema + (", ids binary" if keep_ids else ""))
+    return placed.select("doc_id", "doc_tokens", "start", "ids").mapInArrow(lean(run), schema + (", ids binary" if keep_ids else ""))
 
 
 def path_width(path: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memoquarry.llm import decontam, jaccard, packing, suffixes, toxicity
-from memoquarry.llm.common import Scratch, keyed, table, tune
+from memoquarry.llm.common import Scratch, keyed, lean, table, tune
 
 
 #: Near copies in the pipeline: words in a shingle, and the least similarity as a fraction.
@@ -63,7 +63,7 @@ def _cut_column(rows: DataFrame, cut, schema: str) -> DataFrame:
             new = [cut(t.encode(), s).decode(errors="ignore") if s and t is not None else t for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), pa.array([bool(s) for s in spans], pa.bool_())], names=["row", "text", "changed"])
 
-    return rows.select("row", "text", "spans").mapInArrow(run, schema)
+    return rows.select("row", "text", "spans").mapInArrow(lean(run), schema)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

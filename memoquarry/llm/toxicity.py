@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memoquarry.llm.common import Scratch, ragged, tune
+from memoquarry.llm.common import Scratch, lean, ragged, tune
 
 TOXIC, CLEAN = 4000, 8000
 GRAMS = (2, 4, 6)
@@ -247,7 +247,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         words = list(seen[0].keys() | seen[1].keys())
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], names=["word", "toxic", "clean"])
 
-    return rows.mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.mapInArrow(lean(run), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def choose_terms(words: DataFrame, most: int = TERMS) -> list[str]:
@@ -292,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
             bags = [terms(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2).cast(pa.int32()), pa.array([digest(t) for t in texts], pa.binary()), pa.array([t for t, _ in bags], pa.list_(pa.int64())), pa.array([n for _, n in bags], pa.list_(pa.int64()))], names=["doc_id", "toxic", "digest", "term", "n"])
 
-    got = rows.mapInArrow(run, "doc_id long, toxic int, digest binary, term array<long>, n array<long>").groupBy("doc_id").agg(F.min(F.struct("digest", "toxic", "term", "n")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")  # one text for an id
+    got = rows.mapInArrow(lean(run), "doc_id long, toxic int, digest binary, term array<long>, n array<long>").groupBy("doc_id").agg(F.min(F.struct("digest", "toxic", "term", "n")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")  # one text for an id
     scratch.drop("examples")
     ids, y = (got.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
     bags = list(zip((np.array(t, np.int64) for t in got.column("term").to_pylist()), (np.array(n, np.int64) for n in got.column("n").to_pylist())))
@@ -324,7 +324,7 @@ def score(docs: DataFrame, scorer: Scorer, evidence: int = 0) -> DataFrame:
 
     from pyspark.sql.types import StructType
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL(extra).fields]))
+    return kept.mapInArrow(lean(run), StructType([*kept.schema.fields, *StructType.fromDDL(extra).fields]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
