@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,21 @@ def test_nearest_rows_with_many_ties_and_bad_numbers(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(5, 7), (5, 10), (5, 11), (20, 10), (20, 11), (20, 12)]
     few = frame.filter("vec_id in (5, 6, 7)")
     assert {(r.query_id, r.vec_id) for r in recall.nearest(few.filter("vec_id = 5"), few, 3).collect()} == {(5, 7)}
+
+
+@pytest.mark.parametrize("sent", [recall.SENT_IDS, 0])
+def test_every_conversation_asks(spark, tmp_path, monkeypatch, sent):
+    """Whatever its id, a conversation asks; held against the SQL with records that are met by id and by name, a name of many records, and texts that are long, empty or missing."""
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    turns = [(i, t, "user", f"{'Zebra' if i % 3 else 'Emu'} {t} we decided to ask record {i}") for i in range(1, 31) for t in range(3)]
+    write([*turns, (31, 0, "user", ""), (200, 0, "user", "Zebra")], "conv_id long, turn long, role string, text string", "conversations")
+    write([*((i, f"{'Zebra' if i % 2 else 'Emu'} number {i} must use kafka " + "long " * 2000) for i in range(40)), (40, None), (41, "")], "doc_id long, text string", "documents")
+    write([(i, [float((i * j) % 7 - 3) for j in range(64)]) for i in range(1, 45)], "vec_id long, embedding array<float>", "embeddings")
+    con = duckdb.connect()
+    for t in ("conversations", "documents", "embeddings"):
+        con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = lambda rows: sorted((*map(str, r[:4]), round(r[4], 5), r[5]) for r in rows)
+    monkeypatch.setattr(recall, "SENT_IDS", sent)
+    out = catalogue.QUERIES["recall_federated"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in out} == {*range(1, 32), 200}
+    assert got(map(tuple, out)) == got(con.sql(catalogue.ORACLES["recall_federated"]).fetchall())
